@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomgraph.llm import docpairs, provenance
+from loomgraph.llm import docpairs, mixing, packing, provenance, truncation
 from loomgraph.tables import table
 
 _PAIR = ("id", "kind", "name", "qualified_name", "signature", "docstring", "seq")
@@ -33,5 +33,37 @@ def p4_found(spark, folder):
     return p4_provenance(spark, folder).where("verdict != 'hand-written'").select("path")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p1_from_files, p4_found, p4_provenance)}
+def p6_packing(spark, folder):
+    return packing.pack_documents(table(spark, folder, "documents", "doc_id", "source", "text"), table(spark, folder, "pack_capacity"))
+
+
+def p6_fill(spark, folder):
+    return packing.fill_report(p6_packing(spark, folder), table(spark, folder, "pack_capacity"))
+
+
+def p6_mixture(spark, folder):
+    return packing.mixture_report(p6_packing(spark, folder))
+
+
+def p7_mixing(spark, folder):
+    return mixing.mix(table(spark, folder, "documents", "doc_id", "source", "text"), table(spark, folder, "mix_targets"))
+
+
+def p7_shares(spark, folder):
+    return mixing.share_report(p7_mixing(spark, folder), table(spark, folder, "mix_targets"))
+
+
+def p8_found(spark, folder):
+    judged = truncation.truncated(table(spark, folder, "documents", "doc_id", "source", "text"))
+    return judged.where("state = 'cut'").select("doc_id")
+
+
+def p8_rates(spark, folder):
+    return truncation.truncation_rates(truncation.truncated(table(spark, folder, "documents", "doc_id", "source", "text")))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (p1_found, p1_pairs, p1_from_files, p4_found, p4_provenance, p6_packing, p6_fill, p6_mixture, p7_mixing, p7_shares, p8_found, p8_rates)
+}
 SQL: dict[str, str] = {}

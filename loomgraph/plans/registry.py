@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loomgraph.plans import problems
+from loomgraph.plans import graph, problems
 
-MODULES = (problems,)
+MODULES = (problems, graph)
 
 
 def queries():

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm.queues import bucket_count, queue_positions
-from loomgraph.llm.tokens import TOKENIZER, encoding
+from loomgraph.llm.tokens import TOKENIZER, encode
 from loomgraph.session import Scratch
 
 FEATURES = 4096
@@ -53,13 +53,12 @@ def _class_counts(labels: list[str], path: str):
     places = {label: i for i, label in enumerate([*labels, ""])}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoding(path).encode_ordinary
         counts, docs = np.zeros((len(places), FEATURES), dtype=np.int64), np.zeros(len(places), dtype=np.int64)
         for batch in batches:
             for source, text in zip(batch.column("source").to_pylist(), batch.column("text").to_pylist()):
                 at = places.get(source, len(labels))
                 docs[at] += 1
-                counts[at] += _histogram(encode(text))
+                counts[at] += _histogram(encode(text, path))
         yield pa.RecordBatch.from_pydict({"label": list(places), "docs": docs.tolist(), "counts": counts.tolist()}, schema=schema)
 
     return run
@@ -102,12 +101,11 @@ def _memberships(labels: list[str], model: SourceClassifier | None, path: str):
     places = {label: i for i, label in enumerate(labels)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoding(path).encode_ordinary
         for batch in batches:
             rows = batch.to_pydict()
             sizes, members = [], []
             for source, text in zip(rows["source"], rows["text"]):
-                ids = encode(text) if text else []
+                ids = encode(text, path) if text else []
                 member = [0.0] * (len(labels))
                 if source in places:
                     member[places[source]] = 1.0

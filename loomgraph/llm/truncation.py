@@ -49,7 +49,7 @@ _CAMEL = re.compile(r"^[a-z]+[A-Z]|^[A-Z][a-z]+[A-Z]")
 _LAST_PIECE = re.compile(r"[A-Z][a-z0-9]*$")
 _CODE_START = re.compile(r"\s*(?:package |import |from [\w.]+ import |export |public |class |function |def |#include|@\w+|/\*\*|\{|\[|<\?xml|<\w+[ >])")
 _STRINGS = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`]*`")
-_COMMENTS = re.compile(r"/\*.*?\*/|//[^\n]*|(?m:^\s*#[^\n]*)", re.S)
+_COMMENTS = re.compile(r"/\*.*?\*/|//[^\n]*|(?m:^[ \t]*#[^\n]*)", re.S)
 
 
 def tokens(text: str) -> list[str]:
@@ -89,6 +89,8 @@ def structure(text: str) -> str:
         try:
             json.loads(text)
             return "whole"
+        except RecursionError:
+            return "cut" if _unclosed(text) else "unknown"
         except ValueError as error:
             return "cut" if _unclosed(text) or "Expecting" in str(error) and error.pos >= len(text.rstrip()) - 1 else "unknown"
     fences = len(re.findall(r"(?m)^```", text))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loomgraph.plans import graph, problems
+from loomgraph.plans import graph, problems, sources
 
-MODULES = (problems, graph)
+MODULES = (problems, graph, sources)
 
 
 def queries():

@@ -352,7 +352,7 @@ def read_tree(spark: SparkSession, root: str, most_bytes: int = 10_000_000) -> D
     base = Path(root).resolve().as_posix()
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"file:{base}")
     relative = F.replace(F.regexp_replace("path", "^file:/*", "/"), F.lit(base + "/"), F.lit(""))
-    rows = files.where(F.col("length") <= most_bytes).select(relative.alias("path"), F.md5("content").alias("content_hash"), F.col("length").alias("size"), F.unix_millis("modificationTime").alias("modified_at"), F.decode("content", F.lit("UTF-8")).alias("content"))
+    rows = files.where(F.col("length") <= most_bytes).select(relative.alias("path"), F.md5("content").alias("content_hash"), F.col("length").alias("size"), F.unix_millis("modificationTime").alias("modified_at"), F.decode("content", "UTF-8").alias("content"))
     rows = rows.where(~F.col("path").rlike(r"(^|/)(\.git|\.svn|\.hg|\.idea|\.vscode|node_modules|__pycache__)(/|$)"))
     rows = rows.withColumn("language", language_of("path")).where("language != 'unknown'")
     return rows.select("path", "content_hash", "language", "size", "modified_at", F.unix_millis(F.current_timestamp()).alias("indexed_at"), "content")

@@ -83,8 +83,8 @@ def argument(column: str, name: str) -> Column:
 def transaction_settings(column: str) -> Column:
     """Settings of a transaction annotation, with their defaults."""
     return F.struct(
-        F.coalesce(F.regexp_extract_all(F.col(column), F.lit(r"Propagation\.(\w+)"), F.lit(1))[0], F.lit("REQUIRED")).alias("propagation"),
-        F.coalesce(F.regexp_extract_all(F.col(column), F.lit(r"Isolation\.(\w+)"), F.lit(1))[0], F.lit("DEFAULT")).alias("isolation"),
+        F.coalesce(F.get(F.regexp_extract_all(F.col(column), F.lit(r"Propagation\.(\w+)"), F.lit(1)), 0), F.lit("REQUIRED")).alias("propagation"),
+        F.coalesce(F.get(F.regexp_extract_all(F.col(column), F.lit(r"Isolation\.(\w+)"), F.lit(1)), 0), F.lit("DEFAULT")).alias("isolation"),
         F.coalesce(argument(column, "timeout").try_cast("int"), F.lit(-1)).alias("timeout"),
         F.coalesce(argument(column, "readOnly") == "true", F.lit(False)).alias("read_only"),
         F.regexp_extract_all(F.coalesce(argument(column, "rollbackFor"), F.lit("")), F.lit(r"(\w+)\.class"), F.lit(1)).alias("rollback_for"),

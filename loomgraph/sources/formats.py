@@ -176,12 +176,12 @@ def maven_modules(contents: DataFrame) -> DataFrame:
 
 def resolve_properties(value: str, properties: str, rounds: int = 10) -> Column:
     """``${name}`` replaced from a map column, again and again up to ten times; unknown names stay."""
-    out = F.col(value)
-    for _ in range(rounds):
-        name = F.regexp_extract(out, r"\$\{([^}]+)\}", 1)
+    def once(text: Column, _round: Column) -> Column:
+        name = F.regexp_extract(text, r"\$\{([^}]+)\}", 1)
         known = F.element_at(F.col(properties), name)
-        out = F.when((name != "") & known.isNotNull(), F.replace(out, F.concat(F.lit("${"), name, F.lit("}")), known)).otherwise(out)
-    return out
+        return F.when((name != "") & known.isNotNull(), F.replace(text, F.concat(F.lit("${"), name, F.lit("}")), known)).otherwise(text)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.col(value), once)
 
 
 def maven_dependencies(contents: DataFrame) -> DataFrame:
@@ -259,7 +259,7 @@ def drools_rules(contents: DataFrame) -> DataFrame:
     """(path, package, rule, salience, condition, action) of rule files."""
     rows = contents.where("path rlike '[.]drl$'").withColumn("package", F.regexp_extract("content", r"(?m)^package\s+([\w.]+)", 1))
     rules = explode_groups(rows, "content", r"(?s)rule\s+\"([^\"]+)\"(.*?)\bwhen\b(.*?)\bthen\b(.*?)\bend\b", ["path", "package"], rule=1, head=2, condition=3, action=4)
-    return rules.select("path", "package", "rule", F.coalesce(F.nullif(F.regexp_extract("head", r"salience\s+(-?\d+)", 1), F.lit("")).cast("int"), F.lit(0)).alias("salience"), F.trim("condition").alias("condition"), F.trim("action").alias("action"))
+    return rules.select("path", "package", "rule", F.coalesce(F.nullif(F.regexp_extract("head", r"salience\s+(-?\d+)", 1), F.lit("")).cast("int"), F.lit(0)).alias("salience"), F.regexp_replace("condition", r"^\s+|\s+$", "").alias("condition"), F.regexp_replace("action", r"^\s+|\s+$", "").alias("action"))
 
 
 def drools_search(rules: DataFrame, term: str) -> DataFrame:

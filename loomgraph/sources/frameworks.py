@@ -121,12 +121,18 @@ ROUTE_RULES: tuple[tuple[str, str, str, str | int, int], ...] = (
     ("webflux", r"[.](java|kt)$", r"\b(GET|POST|PUT|DELETE|PATCH)\(\s*\"([^\"]+)\"", 0, 2),
 )
 
+def _bare(value: Column) -> Column:
+    """Without the braces of a list and the quotes of a text."""
+    listed = F.regexp_replace(F.trim(value), r"^\{\s*([\s\S]*?)\s*\}$", "$1")
+    return F.trim(F.regexp_replace(listed, r"^\"|\"$", ""))
+
+
 def arguments(column: str) -> Column:
     """All ``name = value`` arguments as a map, the single text or bare argument as ``value``."""
     text = F.col(column)
     names = F.regexp_extract_all(text, F.lit(r"(\w+)\s*=\s*(?:\{[^}]*\}|\"(?:[^\"\\]|\\.)*\"|[^,(){}]+(?:\([^)]*\))?)"), F.lit(1))
-    values = F.transform(F.regexp_extract_all(text, F.lit(r"\w+\s*=\s*(\{[^}]*\}|\"(?:[^\"\\]|\\.)*\"|[^,(){}]+(?:\([^)]*\))?)"), F.lit(1)), lambda v: F.trim(F.regexp_replace(v, r"^[\"{ ]+|[\"} ]+$", "")))
-    single = F.trim(F.regexp_replace(text, r"^[\"{ ]+|[\"} ]+$", ""))
+    values = F.transform(F.regexp_extract_all(text, F.lit(r"\w+\s*=\s*(\{[^}]*\}|\"(?:[^\"\\]|\\.)*\"|[^,(){}]+(?:\([^)]*\))?)"), F.lit(1)), _bare)
+    single = _bare(text)
     unique = F.map_from_entries(F.array_distinct(F.arrays_zip(names.alias("k"), values.alias("v"))))
     return F.when(F.trim(text) == "", F.create_map().cast("map<string,string>")).when(F.size(names) > 0, unique).otherwise(F.create_map(F.lit("value"), single))
 

@@ -129,33 +129,35 @@ def complexity(nodes: DataFrame, files: DataFrame) -> DataFrame:
     return joined.select("id", "name", total.cast("int").alias("complexity"))
 
 
-def similar_code(nodes: DataFrame, least: float = 0.5, top: int = 10) -> DataFrame:
-    """(id, other_id, similarity): token Jaccard between symbols of one kind, ten best each.
-
-    Exact set-similarity join with prefix filtering: two sets this similar share
-    one of their rarest tokens, so only those few are join keys; hot tokens are
-    never in a prefix of a set that has rarer ones. Equal token sets are joined
-    once, as a class, and expanded to the best ten of each symbol only.
+def similar_code(nodes: DataFrame, queries: DataFrame, least: float = 0.5, top: int = 10) -> DataFrame:
+    """(id, other_id, n_equal, similarity): for each query symbol (id) the ten classes of symbols most like it.
+
+    Similarity is the Jaccard index of the tokens of name, signature and
+    docstring, between symbols of one kind. Symbols with equal tokens form a
+    class, named by its smallest id; a query's own class is not listed. Exact:
+    two sets this similar share one of their rarest tokens (prefix filter), so
+    only those few are join keys and hot tokens are not.
     """
     from pyspark.sql import Window
 
     text = F.lower(F.concat_ws(" ", "name", "signature", "docstring"))
     split = F.array_distinct(F.filter(F.split(text, r"[\s,();{}\[\]<>]+"), lambda w: F.length(w) > 1))
     rows = current_nodes(nodes, "kind", "name", "signature", "docstring").where(F.col("kind").isin(*CALLABLE_KINDS)).select("id", "kind", F.sort_array(split).alias("tokens")).where("size(tokens) > 0")
-    classes = rows.groupBy("kind", "tokens").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
-    exploded = classes.select("kind", "rep", F.explode("tokens").alias("token"))
+    classes = rows.groupBy("kind", "tokens").agg(F.min("id").alias("rep"), F.count("*").alias("n_equal"))
+    exploded = classes.select("kind", "rep", "n_equal", F.explode("tokens").alias("token"))
     frequency = exploded.groupBy("kind", "token").agg(F.count("*").alias("df"))
-    ranked = exploded.join(frequency, ["kind", "token"]).groupBy("kind", "rep").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("t"))
+    ranked = exploded.join(frequency, ["kind", "token"]).groupBy("kind", "rep", "n_equal").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("t"))
     prefix = F.slice("t", F.lit(1), F.size("t") - F.ceil(F.size("t") * least).cast("int") + 1)
-    keys = ranked.select("kind", "rep", F.col("t.token").alias("set"), F.explode(prefix).alias("k")).select("kind", "rep", "set", F.col("k.token").alias("token"))
-    a, b = keys.alias("a"), keys.alias("b")
-    near = (F.size("a.set") >= least * F.size("b.set")) & (F.size("b.set") >= least * F.size("a.set"))
-    pairs = a.join(b, (F.col("a.kind") == F.col("b.kind")) & (F.col("a.token") == F.col("b.token")) & (F.col("a.rep") != F.col("b.rep")) & near)
-    shared = F.size(F.array_intersect("a.set", "b.set"))
-    similarity = shared / (F.size("a.set") + F.size("b.set") - shared)
-    scored = pairs.select(F.col("a.rep").alias("id"), F.col("b.rep").alias("other_id"), F.round(similarity, 2).alias("similarity"), similarity.alias("_s")).where(F.col("_s") >= least).drop("_s").distinct()
-    best = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("similarity"), "other_id"))
-    return scored.withColumn("_r", best).where(F.col("_r") <= top).select("id", "other_id", "similarity")
+    keys = ranked.select("kind", "rep", "n_equal", F.col("t.token").alias("set"), F.explode(prefix).alias("k")).select("kind", "rep", "n_equal", "set", F.col("k.token").alias("token"))
+    asked = rows.join(queries.select("id").distinct(), "id", "left_semi").join(classes, ["kind", "tokens"]).select("id", "rep")
+    mine = keys.join(asked.select("rep").distinct(), "rep", "left_semi").select("kind", "token", F.col("rep").alias("_rep"), F.col("set").alias("_set"))
+    near = (F.size("_set") >= least * F.size("set")) & (F.size("set") >= least * F.size("_set"))
+    shared = F.size(F.array_intersect("_set", "set"))
+    similarity = shared / (F.size("_set") + F.size("set") - shared)
+    pairs = mine.join(keys, ["kind", "token"]).where(near & (F.col("rep") != F.col("_rep"))).select("_rep", "rep", "n_equal", similarity.alias("_s")).where(F.col("_s") >= least).distinct()
+    best = F.row_number().over(Window.partitionBy("_rep").orderBy(F.desc("_s"), "rep"))
+    kept = pairs.withColumn("_r", best).where(F.col("_r") <= top).select("_rep", F.col("rep").alias("other_id"), "n_equal", F.round("_s", 2).alias("similarity"))
+    return asked.withColumnRenamed("rep", "_rep").join(kept, "_rep").select("id", "other_id", "n_equal", "similarity")
 
 
 def condition_activity(edges: DataFrame) -> DataFrame:

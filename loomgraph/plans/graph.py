@@ -93,7 +93,9 @@ add("first_bindings", lambda t: aggregates.first_binding(t.edges), "select sourc
 add("average_confidence", lambda t: aggregates.average_confidence(t.edges), f"select kind, count(*) as n_edges, round(avg({CONF}), 6) as avg_confidence from edges group by kind")
 add("complexity", lambda t: aggregates.complexity(t.nodes, t.files))
 add("complexity_top", lambda t: aggregates.complexity(t.nodes, t.files).orderBy(F.desc("complexity"), "id").limit(20))
-add("similar_code", lambda t: aggregates.similar_code(t.nodes))
+add("similar_code", lambda t: aggregates.similar_code(t.nodes, t.nodes.where("seq % 50 = 0").select("id")), r"""select id, other_id, n_equal, round(s, 2) as similarity from (select *, row_number() over (partition by id order by s desc, other_id) as r from (
+  select q.id, c.rep as other_id, c.n_equal, len(list_intersect(q.tokens, c.tokens)) / (len(q.tokens) + len(c.tokens) - len(list_intersect(q.tokens, c.tokens)))::double as s from tk q join cl c on c.kind = q.kind and c.tokens <> q.tokens where q.id in (select id from nodes where seq % 50 = 0)) where s >= 0.5) where r <= 10""",
+    CN, f"tk as (select id, kind, tokens from (select id, kind, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(concat_ws(' ', name, signature, docstring)), '[\\s,();{{}}\\[\\]<>]+'), lambda w: length(w) > 1))) as tokens from cn where kind in {CALLABLE}) where len(tokens) > 0)", "cl as (select kind, tokens, min(id) as rep, count(*) as n_equal from tk group by kind, tokens)")
 add("condition_activity", lambda t: aggregates.condition_activity(t.edges), "select r.source, count(*) as n_conditions, bool_and(r.target in (select target from edges where kind = 'overrides')) as all_met from (select distinct source, target from edges where starts_with(target, 'config:') and kind = 'references') r group by r.source")
 add("provenance_histogram", lambda t: aggregates.provenance_histogram(t.edges, 0.8), f"select kind, count(*) as n_edges, count(*) filter ({CONF} < 0.8) as n_filtered from ce where kind in ('dispatch_call', 'proxy_wraps', 'aop_advises') group by kind", CE)
 

@@ -190,7 +190,7 @@ def _rated(labels: list[str], caps: list[int], steps: list[np.ndarray]):
             member = np.array(rows["member"], dtype=float).reshape(len(rows["doc_id"]), len(labels))
             cap = member @ np.array(caps, dtype=float) / np.maximum(member.sum(axis=1), 1e-9)
             rate = rates_after(member, cap, steps)
-            strongest = member.argmax(axis=1)
+            strongest = member.argmax(axis=1) if labels else np.zeros(len(member), dtype=int)
             has = member.sum(axis=1) > 0
             queue = [labels[k] if h else None for k, h in zip(strongest, has)]
             out = {"doc_id": rows["doc_id"], "source": rows["source"], "tokens": rows["tokens"], "queue": queue, "rate": np.where(has, rate, 0.0).tolist()}

@@ -333,7 +333,7 @@ def truncated(documents: DataFrame) -> DataFrame:
         F.sum(F.when(F.col("kind") == "A", F.col("ends") + F.col("goes_on") + F.col("finals"))).alias("pair_seen"),
         F.sum(F.when(F.col("kind") == "E", F.col("goes_on"))).alias("longer_seen"),
         F.min(F.when(in_context, rate)).alias("end_rate"),
-        F.max(F.when(F.col("kind").isin("A", "B") & (F.col("ends") + F.col("finals") >= KNOWN_END), rate)).alias("known_end"),
+        F.max(F.when(F.col("kind").isin("A", "B", "C") & (F.col("ends") + F.col("finals") >= KNOWN_END), rate)).alias("known_end"),
     )
     limits = length_limits(looked).withColumn("at_limit", F.lit(True))
     # Null sources are compared as equal here.

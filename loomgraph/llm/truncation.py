@@ -34,6 +34,7 @@ GOES_ON_AT_LIMIT = 0.08  # the same for texts whose length is a limit of their s
 KNOWN_END = 3  # places where the same two or three words end a text or line
 KNOWN_END_RATE = 0.8  # and their share, from which they are an end here too
 PREFIX_CHARS = 4  # short last words are also looked up after the word before them
+MARK_CHARS = 120  # no mark is longer
 FLUSH = 200_000
 
 # Marks that systems put where they cut a text.
@@ -122,7 +123,7 @@ def first_look(text: str | None) -> tuple[str, list[str], str, str]:
     stripped = (text or "").rstrip()
     if not stripped.strip():
         return "empty", [], "", ""
-    if CUT_MARK.search(stripped):
+    if CUT_MARK.search(stripped[-MARK_CHARS:]):
         return "cut", [], "", ""
     shape = structure(stripped)
     if shape != "unknown":
@@ -193,6 +194,11 @@ def count_places(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words_of = shared.value
         known: dict[str, bool] = {}
+        # What depends on a word alone is worked out once: mask, vocabulary key, beginnings, whether it ends a context.
+        facts: dict[str, tuple] = {}
+        ends: Counter = Counter()
+        goes: Counter = Counter()
+        finals: Counter = Counter()
 
         def wanted(key: str) -> bool:
             hit = known.get(key)
@@ -201,48 +207,61 @@ def count_places(shared):
                 hit = known[key] = bool(words_of[h & (FILTER_WORDS - 1)] >> ((h >> 32) & 63) & 1)
             return hit
 
-        ends: Counter = Counter()
-        goes: Counter = Counter()
-        finals: Counter = Counter()
+        def fact(word: str) -> tuple:
+            masked = mask(word)
+            letters = word[0].isalpha()
+            vocabulary = "V\x1f" + piece(word) if letters else ""
+            starts = [word[:k] for k in range(1, min(PREFIX_CHARS, len(word) - 1) + 1)] if letters else []
+            out = facts[word] = (masked, vocabulary if vocabulary and wanted(vocabulary) else "", starts, wanted("L\x1f" + masked), wanted("P\x1f" + masked), masked == "\n" or masked in ENDS)
+            return out
 
         def flush():
             keys = list(ends.keys() | goes.keys() | finals.keys())
             out = {"key": keys, "ends": [ends[k] for k in keys], "goes_on": [goes[k] for k in keys], "finals": [finals[k] for k in keys]}
-            for c in (ends, goes, finals, known):
+            for c in (ends, goes, finals, known, facts):
                 c.clear()
             return pa.RecordBatch.from_pydict(out, schema=_COUNTS)
 
+        start_before = wanted("P\x1f^")
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 words = tokens(text.rstrip())
                 if not words:
                     continue
-                masked = [mask(w) for w in words]
-                size = len(words)
-                before = "^"
-                for at, here in enumerate(masked):
-                    word = words[at]
+                row = [facts.get(w) or fact(w) for w in words]
+                size = len(row)
+                before, asked = "^", start_before
+                second, pair, older = "^", "^\x1f^", "^\x1f^"  # the word two back, the last two words, the two before the last
+                for at, (here, vocabulary, starts, closes, opens, _) in enumerate(row):
                     if at + 1 == size:
                         into = finals
                     else:
-                        following = masked[at + 1]
-                        closed = following in ENDS or following == ";" and (at + 2 == size or masked[at + 2] == "\n")
-                        into = ends if closed or following == "\n" else goes
-                    if word[0].isalpha():
-                        if into is not finals:
-                            key = "V\x1f" + piece(word)
+                        following = row[at + 1]
+                        closed = following[5] or following[0] == ";" and (at + 2 == size or row[at + 2][0] == "\n")
+                        into = ends if closed else goes
+                    if vocabulary and into is not finals:
+                        goes[vocabulary] += 1
+                    if asked and starts:
+                        for beginning in starts:
+                            key = f"E\x1f{before}\x1f{beginning}"
                             if wanted(key):
                                 goes[key] += 1
-                        if wanted("P\x1f" + before):
-                            for k in range(1, min(PREFIX_CHARS, len(word) - 1) + 1):
-                                key = f"E\x1f{before}\x1f{word[:k]}"
-                                if wanted(key):
-                                    goes[key] += 1
-                    for key in contexts(masked, at):
+                    now = before + "\x1f" + here
+                    if closes:
+                        key = "A\x1f" + now
+                        if wanted(key):
+                            into[key] += 1
+                        key = "B\x1f" + second + "\x1f" + now
                         if wanted(key):
                             into[key] += 1
-                    before = here
-                if len(known) > FLUSH:
+                    key = "C\x1f" + pair
+                    if wanted(key):
+                        into[key] += 1
+                    key = "D\x1f" + older
+                    if wanted(key):
+                        into[key] += 1
+                    older, pair, second, before, asked = pair, now, before, here, opens
+                if len(known) > FLUSH or len(facts) > FLUSH:
                     yield flush()
         yield flush()
 
@@ -301,8 +320,9 @@ def truncated(documents: DataFrame) -> DataFrame:
             ).alias("keys"),
         )
     )
+    closing = opened.select(F.concat(F.lit("L\x1f"), F.element_at(F.split(F.col("keys")[0], "\x1f"), -1)).alias("key"))
     befores = opened.where("near != ''").select(F.concat(F.lit("P\x1f"), F.split("near", "\x1f")[1]).alias("key"))
-    wanted = with_keys.select(F.explode("keys").alias("key")).unionByName(befores).distinct()
+    wanted = with_keys.select(F.explode("keys").alias("key")).unionByName(befores).unionByName(closing).distinct()
     shared = documents.sparkSession.sparkContext.broadcast(key_filter(wanted))
     texts = documents.where("text is not null").groupBy(F.xxhash64("text").alias("h"), "text").agg(F.lit(1)).select("text")
     counted = texts.mapInArrow(count_places(shared), "key string, ends bigint, goes_on bigint, finals bigint")

@@ -33,7 +33,7 @@ GOES_ON = 0.01  # share of places with an end, up to which a text was cut
 GOES_ON_AT_LIMIT = 0.08  # the same for texts whose length is a limit of their source
 KNOWN_END = 3  # places where the same two or three words end a text or line
 KNOWN_END_RATE = 0.8  # and their share, from which they are an end here too
-PREFIX_CHARS = 4  # short last words are also looked up after the word before them
+PREFIX_CHARS = 10  # short last words are also looked up after the word before them
 MARK_CHARS = 120  # no mark is longer
 FLUSH = 200_000
 
@@ -115,6 +115,14 @@ def _unclosed(text: str) -> bool:
     return any(plain.count(a) > plain.count(b) for a, b in ("{}", "()", "[]"))
 
 
+def without_mark(text: str) -> str:
+    """The text up to a mark of a cut, so that what stands before it counts as the end."""
+    text = text.rstrip()
+    tail = text[-MARK_CHARS:]
+    kept = ELLIPSIS.sub("", CUT_MARK.sub("", tail))
+    return text[: len(text) - len(tail) + len(kept)].rstrip()
+
+
 def first_look(text: str | None) -> tuple[str, list[str], str, str]:
     """(state, context keys, last word, key of the last word after the one before).
 
@@ -225,7 +233,7 @@ def count_places(shared):
         start_before = wanted("P\x1f^")
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                words = tokens(text.rstrip())
+                words = tokens(without_mark(text))
                 if not words:
                     continue
                 row = [facts.get(w) or fact(w) for w in words]
@@ -274,7 +282,7 @@ def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         fresh: set[str] = set()
         for text in batch.column(0).to_pylist():
-            words = tokens(text.rstrip())[:-1]
+            words = tokens(without_mark(text))[:-1]
             for word in set(words):
                 if word[0].isalpha():
                     fresh.add(piece(word))
@@ -329,7 +337,10 @@ def truncated(documents: DataFrame) -> DataFrame:
     counts = counted.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("ends", "goes_on", "finals")])
     vocabulary = texts.mapInArrow(_vocabulary, "word string").distinct()
     # The trie's inner nodes: every proper prefix of a known word. A mark of camel case counts as a letter of it.
-    prefixes = vocabulary.select(F.explode(F.expr("transform(sequence(1, greatest(length(word) - 1, 1)), i -> substr(word, 1, i))")).alias("prefix")).distinct()
+    # A name may be cut inside its first part, where it isn't in camel case yet: its parts are entered without the mark too.
+    begun = "transform(sequence(1, greatest(length(word) - 1, 1)), i -> substr(word, 1, i))"
+    unmarked = "if(word rlike '^[\\\\^~]', transform(sequence(1, greatest(length(word) - 1, 1)), i -> substr(word, 2, i)), array())"
+    prefixes = vocabulary.select(F.explode(F.expr(f"concat({begun}, {unmarked})")).alias("prefix")).distinct()
     begins = with_keys.where("last != ''").select("last").distinct().join(prefixes.withColumnRenamed("prefix", "last"), "last", "left_semi")
     # The last part of a name that is known only inside names is unfinished as well.
     inside = with_keys.where("substr(last, 1, 1) in ('^', '~')").select("last").distinct().join(vocabulary.withColumnRenamed("word", "last"), "last", "left_semi")
@@ -350,7 +361,7 @@ def truncated(documents: DataFrame) -> DataFrame:
     in_context = F.col("kind").isin("A", "B", "C", "D") & (F.col("ends") + F.col("finals") + F.col("goes_on") >= SUPPORT)
     summed = evidence.groupBy("doc_id").agg(
         F.sum(F.when(F.col("kind") == "V", F.col("goes_on"))).alias("word_seen"),
-        F.sum(F.when(F.col("kind") == "A", F.col("ends") + F.col("goes_on") + F.col("finals"))).alias("pair_seen"),
+        F.sum(F.when(F.col("kind") == "A", F.col("ends") + F.col("goes_on") + F.when(F.col("finals") >= KNOWN_END, F.col("finals")).otherwise(0))).alias("pair_seen"),
         F.sum(F.when(F.col("kind") == "E", F.col("goes_on"))).alias("longer_seen"),
         F.min(F.when(in_context, rate)).alias("end_rate"),
         F.max(F.when(F.col("kind").isin("A", "B", "C") & (F.col("ends") + F.col("finals") >= KNOWN_END), rate)).alias("known_end"),

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from loomgraph.functions.paths import glob_regex, language_of
 from loomgraph.operators import aggregates, context, diagrams, dispatch, graph, links, ranking, resolution, search, sets, summaries, traces, traversal
 from loomgraph.plans.base import Folder
-from loomgraph.sources import formats, frameworks, lines
+from loomgraph.sources import formats, frameworks, infrastructure, lines
 
 
 @dataclass(frozen=True)
@@ -66,7 +66,8 @@ class Index:
         t = self.tables
         found = frameworks.annotation_relations(t.files).select("source", "target", "kind", "metadata")
         texts = frameworks.text_relations(t.files).select("source", "target", "kind", F.lit(None).cast("string").alias("metadata"))
-        return t.edges.select("source", "target", "kind", "metadata").unionByName(found).unionByName(texts)
+        declared = infrastructure.infrastructure_relations(t.files).select("source", "target", "kind", "metadata")
+        return t.edges.select("source", "target", "kind", "metadata").unionByName(found).unionByName(texts).unionByName(declared)
 
 
 def _page(df: DataFrame, order: list, limit=None, offset=0) -> DataFrame:

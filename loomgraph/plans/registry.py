@@ -16,4 +16,4 @@ def oracle_sql():
 
 
 def flagship(spark, folder):
-    return problems.p2_found(spark, folder)
+    return graph.QUERIES["impact"](spark, folder)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.operators import aggregates, context, diagrams, dispatch, summaries, traces, traversal, workspace
 from loomgraph.plans.base import ANN, CALLABLE, CALLS, CN, EXT, Registry
-from loomgraph.sources import formats, frameworks, lines
+from loomgraph.sources import formats, frameworks, infrastructure, lines
 from loomgraph.streaming import sync
 
 R = Registry()
@@ -36,6 +36,7 @@ add("mapper_statements", lambda t: formats.mapper_statements(lines.current_conte
 add("vue_templates", lambda t: formats.vue_template(lines.current_contents(t.files)))
 add("framework_relations", lambda t: frameworks.annotation_relations(t.files))
 add("text_relations", lambda t: frameworks.text_relations(t.files))
+add("infrastructure_relations", lambda t: infrastructure.infrastructure_relations(t.files))
 add("detected_frameworks", lambda t: frameworks.detected_frameworks(t.files))
 add("routes", lambda t: frameworks.routes(t.files))
 add("inventory_counts", lambda t: summaries.inventory_counts(frameworks.annotation_relations(t.files).select("kind").unionByName(frameworks.text_relations(t.files).select("kind")).unionByName(t.edges.select("kind"))))

@@ -2,7 +2,7 @@
 
 import pytest
 
-from loomgraph.sources import formats, frameworks, lines
+from loomgraph.sources import formats, frameworks, infrastructure, lines
 
 JAVA = '''package com.app;
 
@@ -192,3 +192,25 @@ def test_maven(contents):
     found = rows_of(formats.maven_dependencies(contents), "module", "artifact_id", "version", "scope")
     assert ("shop", "json", "2.1", "compile") in found and ("shop", "y", "9", "test") in found
     assert rows_of(formats.maven_modules(contents), "artifact_id", "version", "parent") == {("shop", "1.0", "root"), ("root", "1.0", None)}
+
+
+def test_infrastructure(files):
+    found = rows_of(infrastructure.infrastructure_relations(files), "source", "target", "kind")
+    assert {
+        ("docker:web", "docker:db", "depends_on"), ("docker:db", "image:postgres:16", "deploy_mapping"), ("k8s:Deployment:default:shop", "image:shop:1.2", "k8s_deployment"), ("k8s:Service:default:shop", "k8s:Deployment:default:shop", "k8s_service_binding"),
+        ("pom:shop", "pom:json", "maven_depends_on"), ("pom:shop", "pom:core", "maven_submodule"), ("gradle:svc/build.gradle", "gradle:project:core", "gradle_depends_on"), ("svc/api.json", "openapi:GET:/a", "api_contract"),
+        ("grpc:shop:Shop", "grpc:shop:Shop:Get", "grpc_call"), ("grpc:shop:Shop:Feed", "grpc:message:Req", "grpc_message"), ("gateway:bills", "service:billing", "routes_to"), ("com.app.UserMapper.byId", "mybatis:com.app.UserMapper:byId", "mybatis_mapping"),
+        ("mybatis:com.app.UserMapper:byId", "mysql:table:users", "maps_to"), ("bpmn:order:s", "bpmn:order:u", "bpmn_flow"), ("drools:rules", "drools:rules:Big order", "drools_rule"), ("svc/web/Page.vue", "i18n:en:page.title", "i18n_usage"),
+        ("svc/web/Page.vue", "svc/a/OrderController.java", "api_mapping"),
+    } <= found
+
+
+def test_inventories(files):
+    from loomgraph.operators import summaries
+
+    relations = infrastructure.infrastructure_relations(files).select("source", "target", "kind", "metadata").unionByName(frameworks.annotation_relations(files).select("source", "target", "kind", "metadata"))
+    counts = {r.name: r.n_relations for r in summaries.inventory_counts(relations).collect()}
+    assert {"mybatis_mappings", "gateway_routes", "k8s_services", "maven_modules", "grpc_services", "jpa_entities", "transactions", "routing_manifest", "config_bindings"} <= set(counts)
+    rows = summaries.inventory(relations, "transactions").collect()
+    assert rows[0].f_propagation == "Propagation.REQUIRES_NEW" and rows[0].f_readOnly == "true"
+    assert summaries.inventory(relations, "cache_topologies").first().target == "cache:users" and len(summaries.INVENTORIES) == 52

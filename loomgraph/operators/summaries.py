@@ -18,7 +18,7 @@ class Inventory:
     kinds: tuple[str, ...] = ()
     prefix: str = ""  # of kinds, where their number is open
     fields: tuple[str, ...] = ()
-    group: str = ""  # column to group by, with the sources listed
+    group: str = ""  # column to group by
 
 
 # The inventories, with the kinds and fields of the relations they show.
@@ -82,12 +82,14 @@ INVENTORIES = {
 
 
 def inventory(relations: DataFrame, name: str) -> DataFrame:
-    """One inventory over (source, target, kind, metadata): by relation with its fields, or grouped by target."""
+    """One inventory over (source, target, kind, metadata): by relation with its fields, or by group and user."""
     what = INVENTORIES[name]
     test = F.col("kind").startswith(what.prefix) if what.prefix else F.col("kind").isin(*what.kinds)
     rows = relations.where(test)
     if what.group:
-        return rows.groupBy(what.group).agg(F.count("*").alias("n_uses"), F.array_join(F.sort_array(F.collect_set("source")), ",").alias("used_by"))
+        # One row for each use, with the number of uses of its group: a list of all users could grow without bound.
+        uses = rows.select(what.group, F.col("source").alias("used_by")).distinct()
+        return uses.join(uses.groupBy(what.group).agg(F.count("*").alias("n_uses")), what.group)
     return rows.select("source", "target", "kind", *[F.get_json_object("metadata", f"$.{f}").alias(f"f_{f}") for f in what.fields]).distinct()
 
 

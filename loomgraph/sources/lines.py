@@ -98,7 +98,9 @@ def scoped(lines: DataFrame) -> DataFrame:
     python = F.col("language") == "python"
     rows = rows.withColumn("level", F.when(python, F.col("indent")).otherwise(F.col("depth")))
     declared = rows.where("name is not null").select("path", "language", "line", "kind", "name", "level", "text")
-    ends = rows.select("path", F.col("line").alias("_line"), F.when(python, F.when(F.trim("text") != "", F.col("indent"))).otherwise(F.col("_after")).alias("_level"))
+    # Only a line that closes something, or a declaration on one line, can be an end.
+    closing = F.when(python, F.trim("text") != "").otherwise((F.col("_delta") < 0) | F.col("name").isNotNull())
+    ends = rows.where(closing).select("path", F.col("line").alias("_line"), F.when(python, F.when(F.trim("text") != "", F.col("indent"))).otherwise(F.col("_after")).alias("_level"))
     closed = declared.join(ends, "path").where((F.col("_line") >= F.col("line")) & (F.col("_level") <= F.col("level")))
     brace_end = F.min(F.when(F.col("language") != "python", F.col("_line")))
     python_end = F.min(F.when((F.col("language") == "python") & (F.col("_line") > F.col("line")), F.col("_line"))) - 1

@@ -34,6 +34,7 @@ GOES_ON_AT_LIMIT = 0.08  # the same for texts whose length is a limit of their s
 KNOWN_END = 3  # places where the same two or three words end a text or line
 KNOWN_END_RATE = 0.8  # and their share, from which they are an end here too
 PREFIX_CHARS = 10  # short last words are also looked up after the word before them
+LONGER_SHARE = 0.05  # texts that end with a word after its neighbour, against places with a longer word there: more is a habit
 MARK_CHARS = 120  # no mark is longer
 FLUSH = 200_000
 
@@ -361,7 +362,8 @@ def truncated(documents: DataFrame) -> DataFrame:
     in_context = F.col("kind").isin("A", "B", "C", "D") & (F.col("ends") + F.col("finals") + F.col("goes_on") >= SUPPORT)
     summed = evidence.groupBy("doc_id").agg(
         F.sum(F.when(F.col("kind") == "V", F.col("goes_on"))).alias("word_seen"),
-        F.sum(F.when(F.col("kind") == "A", F.col("ends") + F.col("goes_on") + F.when(F.col("finals") >= KNOWN_END, F.col("finals")).otherwise(0))).alias("pair_seen"),
+        F.sum(F.when(F.col("kind") == "A", F.col("ends") + F.col("goes_on"))).alias("pair_seen"),
+        F.sum(F.when(F.col("kind") == "A", F.col("finals"))).alias("pair_finals"),
         F.sum(F.when(F.col("kind") == "E", F.col("goes_on"))).alias("longer_seen"),
         F.min(F.when(in_context, rate)).alias("end_rate"),
         F.max(F.when(F.col("kind").isin("A", "B", "C") & (F.col("ends") + F.col("finals") >= KNOWN_END), rate)).alias("known_end"),
@@ -376,13 +378,16 @@ def truncated(documents: DataFrame) -> DataFrame:
         .join(summed, "doc_id", "left")
         .join(unfinished, "last", "left")
     )
+    # Ends that are few against longer words at the same place are other cuts, no habit.
+    few = F.coalesce("pair_finals", F.lit(0)) <= LONGER_SHARE * F.coalesce("longer_seen", F.lit(0))
+    begun_longer = (F.coalesce("longer_seen", F.lit(0)) >= 3) & few
     bar = F.when(F.col("at_limit"), GOES_ON_AT_LIMIT).otherwise(GOES_ON)
     why = (
         F.when(F.col("state") == "cut", "mark or structure")
         .when(F.col("state") == "whole", None)
         .when(F.col("unfinished") & (F.coalesce("word_seen", F.lit(0)) == 0), "unfinished word")
-        .when((F.col("pair_seen") == 0) & (F.col("longer_seen") >= 3), "unfinished word after its neighbour")
-        .when((F.col("end_rate") <= bar) & (F.coalesce("known_end", F.lit(0.0)) < KNOWN_END_RATE), "goes on elsewhere")
+        .when((F.col("pair_seen") == 0) & begun_longer, "unfinished word after its neighbour")
+        .when((F.col("end_rate") <= bar) & ((F.coalesce("known_end", F.lit(0.0)) < KNOWN_END_RATE) | begun_longer), "goes on elsewhere")
     )
     return judged.select("doc_id", "source", "chars", "at_limit", why.alias("why")).withColumn(
         "state", F.when(F.col("why").isNotNull(), "cut").otherwise("whole")

@@ -11,28 +11,31 @@ from loomgraph.operators.traversal import entry_points
 
 
 def full_traces(edges: DataFrame, nodes: DataFrame, outside: tuple[str, ...] = ("topic:", "cache:", "config:", "tx:")) -> DataFrame:
-    """(trace_id, hop, node_id, role): entry point, what it calls, what that calls or touches outside.
+    """(trace_id, hop, node_id, role): entry point, what it calls, what that calls and all it touches outside.
 
     A trace belongs to one entry and one symbol it calls; hops are kept in
-    order and traces of one hop are dropped.
+    order and traces of one hop are dropped. Everything that the called symbol
+    touches outside is a hop of its own behind it, numbered by its id.
     """
     entries = entry_points(edges, nodes).select(F.col("id").alias("entry_id"), F.col("entry").alias("role"))
     members = current_nodes(nodes, "parent_id", "kind").where("parent_id is not null and kind in ('method', 'function', 'constructor')").select(F.col("parent_id").alias("entry_id"), F.col("id").alias("method_id"))
     begun = entries.join(members, "entry_id", "left").select("entry_id", "role", F.coalesce("method_id", "entry_id").alias("first_id"))
     calls = callees(edges, nodes).select("symbol", "callee_id")
     second = begun.join(calls.select(F.col("symbol").alias("first_id"), F.col("callee_id").alias("second_id")), "first_id")
-    third = relations(edges, "calls", "references", "dispatch_call").where(F.col("target").rlike("^(" + "|".join(p.rstrip(":") for p in outside) + "|ext):")).select(F.col("source").alias("second_id"), F.col("target").alias("third_id"))
-    touched = third.groupBy("second_id").agg(F.min("third_id").alias("third_id"))
-    rows = second.join(touched, "second_id", "left").withColumn("trace_id", F.md5(F.concat_ws("\x1f", "entry_id", "first_id", "second_id")))
+    third = relations(edges, "calls", "references", "dispatch_call").where(F.col("target").rlike("^(" + "|".join(p.rstrip(":") for p in outside) + "|ext):")).select(F.col("source").alias("second_id"), F.col("target").alias("third_id")).distinct()
+    touched = third.withColumn("_r", F.row_number().over(Window.partitionBy("second_id").orderBy("third_id")))
+    rows = second.withColumn("trace_id", F.md5(F.concat_ws("\x1f", "entry_id", "first_id", "second_id"))).dropDuplicates(["trace_id"])
     hops = F.array_compact(
         F.array(
             F.struct(F.col("entry_id").alias("node_id"), F.col("role").alias("role")),
             F.when(F.col("first_id") != F.col("entry_id"), F.struct(F.col("first_id").alias("node_id"), F.lit("method").alias("role"))),
             F.struct(F.col("second_id").alias("node_id"), F.lit("callee").alias("role")),
-            F.when(F.col("third_id").isNotNull(), F.struct(F.col("third_id").alias("node_id"), F.lit("outside").alias("role"))),
         )
     )
-    return rows.select("trace_id", hops.alias("hops")).dropDuplicates(["trace_id"]).where("size(hops) > 1").select("trace_id", F.posexplode("hops").alias("hop", "h")).select("trace_id", "hop", "h.node_id", "h.role")
+    inside = rows.select("trace_id", F.posexplode(hops).alias("hop", "h")).select("trace_id", "hop", "h.node_id", "h.role")
+    # The first hop outside has the number of the hops inside: two, or three with a method.
+    after = F.when(F.col("first_id") != F.col("entry_id"), 3).otherwise(2)
+    return inside.unionByName(rows.join(touched, "second_id").select("trace_id", (after + F.col("_r") - 1).cast("int").alias("hop"), F.col("third_id").alias("node_id"), F.lit("outside").alias("role")))
 
 
 def trace_steps(traces: DataFrame) -> DataFrame:

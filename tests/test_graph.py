@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomgraph.functions import paths, text
-from loomgraph.operators import conditions, dispatch, links, ranking, resolution, search, sets, traversal, workspace
+from loomgraph.operators import conditions, dispatch, links, ranking, resolution, search, sets, traces, traversal, workspace
 
 NODE = "id string, kind string, name string, qualified_name string, file_path string, language string, start_line int, end_line int, docstring string, signature string, parent_id string, module_id string, seq bigint"
 
@@ -119,6 +119,18 @@ def test_transitive_callers(spark):
     assert {r.symbol: r.n_callers for r in traversal.transitive_callers(e, n, 3).collect()} == {"f1": 1, "f2": 2, "f3": 3, "f4": 3, "f5": 3}
 
 
+def test_traces_keep_all_that_is_touched_outside(spark):
+    n = nodes(spark, {"id": "E", "kind": "entry_point"}, {"id": "E.m", "kind": "method", "parent_id": "E"}, {"id": "s", "kind": "method"}, {"id": "q", "kind": "method"})
+    e = edges(spark, ("E.m", "s", "calls", None), ("E.m", "q", "calls", None), ("s", "topic:b", "dispatch_call", None), ("s", "cache:a", "references", None), ("s", "ext://x/Y", "calls", None), ("s", "topic:b", "references", None))
+    rows = traces.full_traces(e, n)
+    got = {}
+    for r in rows.orderBy("trace_id", "hop").collect():
+        got.setdefault(r.trace_id, []).append((r.hop, r.node_id, r.role))
+    start = [(0, "E", "entry_point"), (1, "E.m", "method")]
+    assert sorted(got.values()) == [[*start, (2, "q", "callee")], [*start, (2, "s", "callee"), (3, "cache:a", "outside"), (4, "ext://x/Y", "outside"), (5, "topic:b", "outside")]]
+    assert {r.target for r in traces.trace_steps(rows).collect()} == {"E.m", "q", "s", "cache:a", "ext://x/Y", "topic:b"}
+
+
 def test_variables(spark):
     rows = spark.createDataFrame([("m", "a", "b"), ("m", "b", "c"), ("m", "c", '"alipay"'), ("m", "d", "d2")], "method string, variable string, value string")
     got = {r.variable: (r.origin, r.hops) for r in traversal.trace_variables(rows).collect()}

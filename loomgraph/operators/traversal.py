@@ -7,7 +7,7 @@ that was seen, and rows that were seen before are removed by an anti join.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.operators.graph import DISPATCH_KINDS, annotations, current_nodes, relations
@@ -130,21 +130,34 @@ def distance_from_entry(edges: DataFrame, nodes: DataFrame, depth: int = 6) -> D
     return reach(calls, entry_points(edges, nodes), depth)
 
 
-def transitive_callers(edges: DataFrame, nodes: DataFrame, depth: int = 3) -> DataFrame:
-    """(symbol, n_callers): different symbols that call it directly or through others, up to ``depth`` calls.
+def _sketch_mark(sketch: str) -> Column:
+    """Text that differs if what is in the sketch differs: the registers of a full one, else the number of values."""
+    return F.when(F.length(sketch) > 4096, F.md5(F.expr(f"substring({sketch}, 41)"))).otherwise(F.hll_sketch_estimate(sketch).cast("string"))
+
+
+def transitive_callers(edges: DataFrame, nodes: DataFrame, depth: int | None = None) -> DataFrame:
+    """(symbol, n_callers): different symbols that call it directly or through others, up to ``depth`` calls or all.
 
     A HyperLogLog sketch per symbol is joined along the calls (one shuffle of
-    sketches per round), so no pair of symbols is ever listed.
+    sketches per round), so no pair of symbols is ever listed. Sketches only
+    grow, so the rounds end when none changes, also where calls form cycles;
+    only those that changed in the last round are passed on.
     """
     scratch = Scratch(edges.sparkSession)
     stored = current_nodes(nodes, "kind").select("id")
     calls = scratch.write(relations(edges, "calls").join(stored.withColumnRenamed("id", "source"), "source", "left_semi").join(stored.withColumnRenamed("id", "target"), "target", "left_semi"))
-    state = scratch.write(calls.groupBy(F.col("target").alias("id")).agg(F.hll_sketch_agg("source", F.lit(12)).alias("sketch")))
-    for _ in range(depth - 1):
-        inherited = calls.join(state.withColumnRenamed("id", "source"), "source").select(F.col("target").alias("id"), "sketch")
-        following = scratch.write(state.unionByName(inherited).groupBy("id").agg(F.hll_union_agg("sketch").alias("sketch")))
+    first = calls.groupBy(F.col("target").alias("id")).agg(F.hll_sketch_agg("source", F.lit(12)).alias("sketch"))
+    state = scratch.write(first.withColumn("mark", F.lit(None).cast("string")).withColumn("changed", F.lit(True)))
+    done = 1
+    while (depth is None or done < depth) and not state.where("changed").isEmpty():
+        passed = state.where("changed").select(F.col("id").alias("source"), "sketch")
+        inherited = calls.join(passed, "source").select(F.col("target").alias("id"), "sketch", F.lit(None).cast("string").alias("mark"))
+        joined = state.select("id", "sketch", "mark").unionByName(inherited).groupBy("id").agg(F.hll_union_agg("sketch").alias("sketch"), F.max("mark").alias("before"))
+        marked = joined.withColumn("mark", _sketch_mark("sketch"))
+        following = scratch.write(marked.select("id", "sketch", "mark", (~F.col("mark").eqNullSafe(F.col("before"))).alias("changed")))
         scratch.drop(state)
         state = following
+        done += 1
     return state.select(F.col("id").alias("symbol"), F.hll_sketch_estimate("sketch").alias("n_callers"))
 
 

@@ -154,7 +154,7 @@ _CYCP = "p as (select source as at_, [source] as path from (select distinct sour
 add("module_cycles", lambda t: traversal.cycles(traversal.module_steps(t.edges, t.nodes, "imports"), 3).select(F.array_join("path", ">").alias("path"), "length"), _CYC.format(s="ms"), CN, _MS, _CYCP.format(s="ms", n=3))
 add("import_cycles", lambda t: traversal.cycles(links.file_dependencies(t.edges, t.nodes).select(F.col("file_path").alias("source"), F.col("depends_on").alias("target")), 4).select(F.array_join("path", ">").alias("path"), "length"), _CYC.format(s="fd"), CN, _FD, _CYCP.format(s="fd", n=4))
 add("page_fanout", lambda t: traversal.page_fanout(t.edges, t.nodes, t.files.where(F.col("path").endswith(".vue"))).groupBy("seed", "depth").agg(F.count("*").alias("n_files")))
-add("transitive_callers", lambda t: traversal.transitive_callers(t.edges, t.nodes, 3))
+add("transitive_callers", lambda t: traversal.transitive_callers(t.edges, t.nodes))
 add("related_symbols", lambda t: traversal.related_symbols(t.edges, t.nodes).groupBy("symbol", "relation").agg(F.count("*").alias("n_others")), "select symbol, relation, count(*) as n_others from (select source as symbol, 'callee' as relation, target as o from calls where target in (select id from cn) union all select target, 'caller', source from calls where source in (select id from cn) union all select parent_id, 'child', id from cn where parent_id is not null union all select id, 'parent', parent_id from cn where parent_id in (select id from cn) union all select distinct target, 'implementation', source from edges where kind = 'implements') group by 1, 2", CN, CALLS)
 add("expand_graph", lambda t: traversal.expand(t.edges, t.nodes, _changed(t), 5), "select seed, id from (select seed, id, row_number() over (partition by seed order by id) as r from (select source as seed, target as id from calls where target in (select id from cn) union select target, source from calls where source in (select id from cn)) where seed in (select n.id from cn n where n.file_path in (select path from file_changes where op = 'modified'))) where r <= 5", CN, CALLS)
 add("type_expansion", lambda t: traversal.type_expansion(t.edges, t.nodes), "select distinct e.source as symbol, e.target as type_id from edges e where e.kind in ('extends', 'implements', 'calls', 'instantiates') and e.source in (select id from cn where kind in ('class', 'interface')) and e.target in (select id from cn where kind in ('class', 'interface'))", CN)

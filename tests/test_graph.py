@@ -119,6 +119,22 @@ def test_transitive_callers(spark):
     assert {r.symbol: r.n_callers for r in traversal.transitive_callers(e, n, 3).collect()} == {"f1": 1, "f2": 2, "f3": 3, "f4": 3, "f5": 3}
 
 
+def test_transitive_callers_of_any_depth(spark):
+    # A chain of twelve calls with a ring of three behind it.
+    calls = [(f"f{i}", f"f{i + 1}") for i in range(12)] + [("f12", "r0"), ("r0", "r1"), ("r1", "r2"), ("r2", "r0")]
+    n = nodes(spark, *[{"id": i, "kind": "function"} for i in [f"f{i}" for i in range(13)] + ["r0", "r1", "r2"]])
+    got = {r.symbol: r.n_callers for r in traversal.transitive_callers(edges(spark, *[(a, b, "calls", None) for a, b in calls]), n).collect()}
+    assert got == {f"f{i}": i for i in range(1, 13)} | {"r0": 16, "r1": 16, "r2": 16}
+
+
+def test_sketches_with_many_callers_settle(spark):
+    # More callers than a sketch lists one by one; the ring ends only if equal registers are seen as equal.
+    calls = [(f"c{i}", f"r{i % 3}") for i in range(3000)] + [("r0", "r1"), ("r1", "r2"), ("r2", "r0")]
+    n = nodes(spark, *[{"id": i, "kind": "function"} for i in [f"c{i}" for i in range(3000)] + ["r0", "r1", "r2"]])
+    got = {r.symbol: r.n_callers for r in traversal.transitive_callers(edges(spark, *[(a, b, "calls", None) for a, b in calls]), n).collect()}
+    assert len(set(got.values())) == 1 and abs(got["r0"] - 3003) < 150
+
+
 def test_traces_keep_all_that_is_touched_outside(spark):
     n = nodes(spark, {"id": "E", "kind": "entry_point"}, {"id": "E.m", "kind": "method", "parent_id": "E"}, {"id": "s", "kind": "method"}, {"id": "q", "kind": "method"})
     e = edges(spark, ("E.m", "s", "calls", None), ("E.m", "q", "calls", None), ("s", "topic:b", "dispatch_call", None), ("s", "cache:a", "references", None), ("s", "ext://x/Y", "calls", None), ("s", "topic:b", "references", None))

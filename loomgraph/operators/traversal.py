@@ -7,6 +7,8 @@ that was seen, and rows that were seen before are removed by an anti join.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,10 +16,11 @@ from loomgraph.operators.graph import DISPATCH_KINDS, annotations, current_nodes
 from loomgraph.session import Scratch
 
 
-def reach(steps: DataFrame, seeds: DataFrame, depth: int, per_seed: bool = False) -> DataFrame:
+def reach(steps: DataFrame, seeds: DataFrame, depth: int | None, per_seed: bool = False) -> DataFrame:
     """(id, depth) with the least depth of all ids reached from the seeds (id); with ``per_seed`` (seed, id, depth).
 
     ``steps`` is (source, target). Seeds have depth 0. Null ids are no seeds.
+    Without a depth the walk ends when it meets nothing new.
     """
     scratch = Scratch(steps.sparkSession)
     steps = scratch.write(steps.select("source", "target").where("source is not null and target is not null").distinct())
@@ -25,7 +28,7 @@ def reach(steps: DataFrame, seeds: DataFrame, depth: int, per_seed: bool = False
     start = seeds.select("id").where("id is not null").distinct()
     frontier = scratch.write((start.select(F.col("id").alias("seed"), "id") if per_seed else start).withColumn("depth", F.lit(0)))
     seen = [frontier]
-    for level in range(1, depth + 1):
+    for level in count(1) if depth is None else range(1, depth + 1):
         following = frontier.select(*keys).withColumnRenamed("id", "source").join(steps, "source").select(*[k for k in keys if k != "id"], F.col("target").alias("id")).distinct()
         for old in seen:
             following = following.join(old.select(*keys), keys, "left_anti")
@@ -119,8 +122,8 @@ def entry_points(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return rows.select("id", entry.alias("entry")).where("entry is not null")
 
 
-def distance_from_entry(edges: DataFrame, nodes: DataFrame, depth: int = 6) -> DataFrame:
-    """(id, depth): least number of calls or memberships from an entry point to each symbol.
+def distance_from_entry(edges: DataFrame, nodes: DataFrame, depth: int | None = None) -> DataFrame:
+    """(id, depth): least number of calls or memberships from an entry point to each symbol that one reaches.
 
     Asking every symbol for the way back to an entry is one walk from all
     entries forwards.

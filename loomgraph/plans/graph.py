@@ -144,7 +144,7 @@ def _changed(t):
 
 _ENTRY = "entry as (select n.id from cn n left join (select distinct node_id from ann where annotation_name in ('GetMapping', 'PostMapping', 'PutMapping', 'DeleteMapping', 'PatchMapping', 'RequestMapping', 'RabbitListener', 'KafkaListener', 'JmsListener', 'Scheduled', 'SchedulingConfigurer', 'VueRoute', 'Route', 'Component')) a on a.node_id = n.id where a.node_id is not null or n.kind = 'entry_point' or (n.name = 'main' and regexp_matches(n.file_path, '[.](java|kt)$')))"
 add("entry_points", lambda t: traversal.entry_points(t.edges, t.nodes).select("id"), "select id from entry", CN, ANN, _ENTRY)
-add("backtrace_distance", lambda t: traversal.distance_from_entry(t.edges, t.nodes, 4), _levels(4), CN, ANN, _ENTRY, "fwd as (select distinct source, target from edges where kind in ('calls', 'contains') and target in (select id from cn))", _reach("select id from entry", "fwd", 4))
+add("backtrace_distance", lambda t: traversal.distance_from_entry(t.edges, t.nodes), _levels(4), CN, ANN, _ENTRY, "fwd as (select distinct source, target from edges where kind in ('calls', 'contains') and target in (select id from cn))", _reach("select id from entry", "fwd", 4))
 add("dispatch_chain", lambda t: traversal.dispatch_chain(t.edges, graph.current_nodes(t.nodes, "kind").where("kind = 'interface'"), 3), _levels(3), CN, f"both_ as (select source, target from edges where kind in {DISPATCH} and source is not null and target is not null union select target, source from edges where kind in {DISPATCH} and source is not null and target is not null)", _reach("select id from cn where kind = 'interface'", "both_", 3))
 _MS = "ms as (select distinct a.module_id as source, b.module_id as target from edges e join cn a on a.id = e.source join cn b on b.id = e.target where e.kind = 'imports' and a.module_id <> '' and b.module_id <> '' and a.module_id <> b.module_id)"
 add("module_paths", lambda t: traversal.simple_paths(traversal.module_steps(t.edges, t.nodes, "imports"), t.modules, None, 3).select(F.array_join("path", ">").alias("path"), "length"), "select array_to_string(path, '>') as path, cast(len(path) - 1 as integer) as length from p where len(path) > 1", CN, _MS, "p as (select id as at_, [id] as path from modules union all select ms.target, list_append(p.path, ms.target) from p join ms on ms.source = p.at_ where not list_contains(p.path, ms.target) and len(p.path) <= 3)")

@@ -135,6 +135,13 @@ def test_sketches_with_many_callers_settle(spark):
     assert len(set(got.values())) == 1 and abs(got["r0"] - 3003) < 150
 
 
+def test_distance_from_entry_of_any_depth(spark):
+    # A chain of twenty calls that returns to its middle, and a symbol that no entry reaches.
+    n = nodes(spark, {"id": "f0", "kind": "entry_point"}, *[{"id": f"f{i}", "kind": "function"} for i in range(1, 21)], {"id": "alone", "kind": "function"})
+    e = edges(spark, *[(f"f{i}", f"f{i + 1}", "calls", None) for i in range(20)], ("f20", "f9", "calls", None), ("alone", "f20", "calls", None))
+    assert {r.id: r.depth for r in traversal.distance_from_entry(e, n).collect()} == {f"f{i}": i for i in range(21)}
+
+
 def test_traces_keep_all_that_is_touched_outside(spark):
     n = nodes(spark, {"id": "E", "kind": "entry_point"}, {"id": "E.m", "kind": "method", "parent_id": "E"}, {"id": "s", "kind": "method"}, {"id": "q", "kind": "method"})
     e = edges(spark, ("E.m", "s", "calls", None), ("E.m", "q", "calls", None), ("s", "topic:b", "dispatch_call", None), ("s", "cache:a", "references", None), ("s", "ext://x/Y", "calls", None), ("s", "topic:b", "references", None))

@@ -77,18 +77,44 @@ def match_strategy(ref: str, name: str, qualified: str) -> Column:
     return F.when(q.contains(r), "qualified_name_contains").when(n == r, "exact_name").when(q.endswith(F.concat(F.lit("."), r)), "qualified_suffix").otherwise("weak")
 
 
+def _gram_size(text: str) -> Column:
+    """How many letters the piece has by which a reference is looked up: the most of 8, 4, 2, 1 that it has."""
+    n = F.length(text)
+    return F.when(n >= 8, 8).when(n >= 4, 4).when(n >= 2, 2).otherwise(1)
+
+
+def _grams(text: str, size: str) -> Column:
+    """Hashes of the different pieces of ``size`` letters. Equal hashes of different pieces only add a candidate, which is then tested."""
+    return F.expr(f"array_distinct(transform(sequence(1, greatest(length({text}) - {size} + 1, 1)), i -> xxhash64(substring({text}, i, {size}))))")
+
+
 def match_references(references: DataFrame, nodes: DataFrame, top: int = 10) -> DataFrame:
     """(ref, id, confidence, strategy): symbols for each reference text (ref), the best ten at 0.5 or more.
 
-    References meet symbols by the last part of either name, so that the
-    substring test only sees candidates.
+    A symbol answers if its name is the text or its qualified name contains it
+    anywhere. Containment is an equi-join on pieces of the text: each reference
+    meets the names that have its rarest piece, and those are tested. Symbols of
+    the same names answer alike, so of those only the first ten take part. An
+    empty text is contained in nothing and only matches an empty name.
     """
-    current = current_nodes(nodes, "name", "qualified_name").where("name is not null")
-    keys = F.array_distinct(F.array_compact(F.array("name", F.element_at(F.split(F.regexp_replace("qualified_name", "\\(.*$", ""), "\\."), -1))))
-    symbols = current.select("id", "name", F.coalesce("qualified_name", "name").alias("qualified_name"), F.explode(keys).alias("key"))
-    asked = references.select("ref").distinct().withColumn("key", F.element_at(F.split("ref", "\\."), -1))
-    rows = asked.join(symbols, "key").withColumn("confidence", match_confidence("ref", "name", "qualified_name")).where(F.col("confidence") >= ACCEPTED)
-    rows = rows.select("ref", "id", "confidence", match_strategy("ref", "name", "qualified_name").alias("strategy")).distinct()
+    current = current_nodes(nodes, "name", "qualified_name").select("id", "name", F.coalesce("qualified_name", "name").alias("qualified_name")).where("qualified_name is not null")
+    first = F.row_number().over(Window.partitionBy("name", "qualified_name").orderBy("id"))
+    symbols = current.withColumn("_r", first).where(F.col("_r") <= top).drop("_r")
+    asked = references.select("ref").where("ref is not null").distinct()
+    texts = symbols.select("qualified_name").distinct().withColumn("key", F.xxhash64("qualified_name"))
+    wanted = asked.where("ref != ''").withColumn("size", _gram_size("ref")).select("ref", "size", F.explode(_grams("ref", "size")).alias("gram"))
+    used = sorted(r["size"] for r in wanted.select("size").distinct().collect())
+    sizes = F.explode(F.array(*[F.lit(n) for n in used or [1]])).alias("size")
+    pieces = texts.select("qualified_name", "key", sizes).where("length(qualified_name) >= size").select("key", F.explode(_grams("qualified_name", "size")).alias("gram"))
+    # A piece that no name has leaves its reference without an answer, which the left join counts as the rarest.
+    rare = pieces.groupBy("gram").agg(F.count("*").alias("n"))
+    sought = wanted.join(rare, "gram", "left").groupBy("ref").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("g")).where("g.n > 0").select("ref", F.col("g.gram").alias("gram"))
+    near = sought.join(pieces, "gram").select("ref", "key").distinct()
+    contained = near.join(texts, "key").where(F.col("qualified_name").contains(F.col("ref"))).select("ref", "qualified_name").join(symbols, "qualified_name")
+    named = asked.join(symbols, F.col("ref") == F.col("name"))
+    rows = contained.select("ref", "id", "name", "qualified_name").union(named.select("ref", "id", "name", "qualified_name")).distinct()
+    rows = rows.withColumn("confidence", match_confidence("ref", "name", "qualified_name")).where(F.col("confidence") >= ACCEPTED)
+    rows = rows.select("ref", "id", "confidence", match_strategy("ref", "name", "qualified_name").alias("strategy"))
     rank = F.row_number().over(Window.partitionBy("ref").orderBy(F.desc("confidence"), "id"))
     return rows.withColumn("_r", rank).where(F.col("_r") <= top).drop("_r")
 

@@ -142,6 +142,28 @@ def test_distance_from_entry_of_any_depth(spark):
     assert {r.id: r.depth for r in traversal.distance_from_entry(e, n).collect()} == {f"f{i}": i for i in range(21)}
 
 
+def test_references_contained_anywhere(spark):
+    texts = ["ActivePremiumStore", "PremiumStore", "Prem", "eP", "x", "countManualRefund", "Store.count", "a.b", "absent", ""]
+    names = [("ActivePremiumStore", "ActivePremiumStore"), ("countManualRefund", "ActivePremiumStore.countManualRefund"), ("run", "a.b.ActivePremiumStore.run"), (None, "a.b.eP"), ("x", "other"), ("x", None), ("", "q.")] + [("run", f"z{i % 3}.ActivePremiumStore.run") for i in range(40)]
+    n = nodes(spark, *[{"id": f"n{i:02}", "name": a} for i, (a, _) in enumerate(names)]).drop("qualified_name")
+    n = n.join(spark.createDataFrame([(f"n{i:02}", q) for i, (_, q) in enumerate(names)], "id string, qualified_name string"), "id")
+    got = {}
+    for r in resolution.match_references(spark.createDataFrame([(t,) for t in texts], "ref string"), n).collect():
+        got.setdefault(r.ref, set()).add((r.id, r.confidence))
+
+    def best(ref):
+        out = []
+        for i, (name, q) in enumerate(names):
+            q = name if q is None else q
+            base = 0.9 if name == ref == q else 0.7 if name == ref else 0.6 if q.endswith("." + ref) else 0.3
+            score = max(base, 0.5) if ref in q else base
+            if score >= 0.5 and (ref or name == ""):
+                out.append((-score, f"n{i:02}"))
+        return {(i, -s) for s, i in sorted(out)[:10]}
+
+    assert got == {t: best(t) for t in texts if best(t)} and len(got["PremiumStore"]) == 10
+
+
 def test_traces_keep_all_that_is_touched_outside(spark):
     n = nodes(spark, {"id": "E", "kind": "entry_point"}, {"id": "E.m", "kind": "method", "parent_id": "E"}, {"id": "s", "kind": "method"}, {"id": "q", "kind": "method"})
     e = edges(spark, ("E.m", "s", "calls", None), ("E.m", "q", "calls", None), ("s", "topic:b", "dispatch_call", None), ("s", "cache:a", "references", None), ("s", "ext://x/Y", "calls", None), ("s", "topic:b", "references", None))

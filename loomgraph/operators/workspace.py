@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.operators.sets import changes
@@ -107,7 +107,8 @@ def _coverage(files: DataFrame) -> DataFrame:
 def _dependencies(files: DataFrame) -> DataFrame:
     contents = current_contents(files)
     gradle = formats.gradle_dependencies(contents)
-    return _row(gradle, "consumes", "dependency", F.col("notation"), "dependencies")
+    maven = formats.maven_dependencies(contents).where("not managed")
+    return _row(gradle, "consumes", "dependency", F.col("notation"), "dependencies").unionByName(_row(maven, "consumes", "dependency", F.concat_ws(":", "group_id", "artifact_id", "version"), "dependencies"))
 
 
 def _enterprise(files: DataFrame, names: tuple[str, ...] = ("Api", "RpcService", "RpcReference")) -> DataFrame:
@@ -143,15 +144,18 @@ def match_consumers(found: DataFrame) -> DataFrame:
 
     Ten points for a kind that answers it, five for each word of the provided
     name in the consumed one; fifteen are needed. Candidates share a word, so
-    the match is an equi-join on words, and words that more than a hundred
-    providers share are only counted, not joined on.
+    the match is an equi-join on words, however common. Provided names of the
+    same words and kind have the same points, so only the two last providers of
+    each take part: one of them is of another project. A pair is taken at the
+    first word it shares.
     """
     words = lambda c: F.array_distinct(F.filter(F.split(F.lower(F.regexp_replace(c, "([a-z0-9])([A-Z])", "$1 $2")), "[^a-z0-9]+"), lambda w: (F.length(w) >= 3) & ~w.isin("get", "post", "put", "delete", "patch", "http", "https", "url", "api")))
     compatible = F.create_map(*[x for kind, kinds in COMPATIBLE.items() for x in (F.lit(kind), F.array(*[F.lit(k) for k in kinds]))])
     a = found.where("side = 'consumes'").select(F.col("project").alias("consumer"), "name", "kind", words("name").alias("cw")).distinct().select("*", F.explode("cw").alias("word"))
-    b = found.where("side = 'provides'").select(F.col("project").alias("provider"), F.col("name").alias("provided"), F.col("kind").alias("pkind"), words("name").alias("pw")).distinct().select("*", F.explode("pw").alias("word"))
-    common = b.groupBy("word").agg(F.count("*").alias("n")).where("n <= 100").select("word")
-    pairs = a.join(b.join(common, "word", "left_semi"), "word").where("consumer != provider").drop("word").distinct()
+    provided = found.where("side = 'provides'").select(F.col("project").alias("provider"), F.col("name").alias("provided"), F.col("kind").alias("pkind"), F.array_sort(words("name")).alias("pw"))
+    last = F.row_number().over(Window.partitionBy("pw", "pkind").orderBy(F.desc("provider")))
+    b = provided.groupBy("pw", "pkind", "provider").agg(F.max("provided").alias("provided")).withColumn("_r", last).where("_r <= 2").drop("_r").select("*", F.explode("pw").alias("word"))
+    pairs = a.join(b, "word").where((F.col("consumer") != F.col("provider")) & (F.col("word") == F.array_min(F.array_intersect("cw", "pw"))))
     fits = F.array_contains(F.coalesce(compatible[F.col("kind")], F.array(*[F.lit(k) for k in OTHERWISE])), F.col("pkind"))
     score = F.when(fits, 10).otherwise(0) + 5 * F.size(F.array_intersect("cw", "pw"))
     best = F.max(F.struct(score.alias("score"), F.col("provider"), F.col("provided"))).alias("b")

@@ -185,7 +185,7 @@ def resolve_properties(value: str, properties: str, rounds: int = 10) -> Column:
 
 
 def maven_dependencies(contents: DataFrame) -> DataFrame:
-    """(module, group_id, artifact_id, version, scope, managed) with properties of the module and its parents resolved."""
+    """(module, group_id, artifact_id, version, scope, managed, path) with properties of the module and its parents resolved."""
     modules = maven_modules(contents)
     inherited = maven_chain(modules)
     rows = contents.where("path rlike '(^|/)pom[.]xml$'").select("path", F.regexp_replace("content", r"(?s)<dependencyManagement>.*?</dependencyManagement>", "").alias("own"), F.regexp_extract("content", r"(?s)<dependencyManagement>(.*?)</dependencyManagement>", 1).alias("managed_part"))
@@ -197,7 +197,7 @@ def maven_dependencies(contents: DataFrame) -> DataFrame:
     named = named.withColumn("properties", F.map_concat(F.coalesce("properties", F.create_map().cast("map<string,string>")), F.create_map(F.lit("\x00v"), F.lit(""))))
     version = F.when(F.col("version") == "${project.version}", F.col("own_version")).otherwise(resolve_properties("version", "properties"))
     group = F.when(F.col("group_id") == "${project.groupId}", F.col("own_group")).otherwise(resolve_properties("group_id", "properties"))
-    return named.select("module", group.alias("group_id"), "artifact_id", version.alias("version"), "scope", "managed")
+    return named.select("module", group.alias("group_id"), "artifact_id", version.alias("version"), "scope", "managed", "path")
 
 
 def maven_chain(modules: DataFrame, depth: int = 10) -> DataFrame:

@@ -164,6 +164,22 @@ def test_references_contained_anywhere(spark):
     assert got == {t: best(t) for t in texts if best(t)} and len(got["PremiumStore"]) == 10
 
 
+def test_consumers_by_common_words(spark):
+    # All words are shared by more than a hundred provided names; the last provider is the consumer itself.
+    provided = [("provides", f"svc/p{i:03}", "http_endpoint", f"/orders/q{i:03}", "p") for i in range(150)] + [("provides", f"svc/{p}", "http_endpoint", "/orders", "p") for p in ("x", "y", "z")]
+    rows = spark.createDataFrame([*provided, ("consumes", "svc/z", "http_request", "http://h/orders/1", "p")], "side string, project string, kind string, name string, path string")
+    got = workspace.match_consumers(rows).collect()
+    assert [(r.consumer, r.provider, r.provided, r.score) for r in got] == [("svc/z", "svc/y", "/orders", 15)]
+
+
+def test_workspace_reads_poms(spark):
+    pom = "<project><groupId>g</groupId><artifactId>shop</artifactId><version>1</version><dependencies><dependency><groupId>o</groupId><artifactId>json</artifactId><version>2</version></dependency></dependencies></project>"
+    same = pom.replace("json", "xml")
+    files = spark.createDataFrame([("svc/a/pom.xml", "xml", pom, 1, "h"), ("svc/b/pom.xml", "xml", same, 1, "i")], "path string, language string, content string, indexed_at bigint, content_hash string")
+    got = {(r.side, r.project, r.kind, r.name) for r in workspace._dependencies(files).collect()}
+    assert got == {("consumes", "svc/a", "dependency", "o:json:2"), ("consumes", "svc/b", "dependency", "o:xml:2")}
+
+
 def test_traces_keep_all_that_is_touched_outside(spark):
     n = nodes(spark, {"id": "E", "kind": "entry_point"}, {"id": "E.m", "kind": "method", "parent_id": "E"}, {"id": "s", "kind": "method"}, {"id": "q", "kind": "method"})
     e = edges(spark, ("E.m", "s", "calls", None), ("E.m", "q", "calls", None), ("s", "topic:b", "dispatch_call", None), ("s", "cache:a", "references", None), ("s", "ext://x/Y", "calls", None), ("s", "topic:b", "references", None))

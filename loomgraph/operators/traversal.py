@@ -104,6 +104,40 @@ def cycles(steps: DataFrame, length: int) -> DataFrame:
     return found
 
 
+def components(steps: DataFrame) -> DataFrame:
+    """(component, id, size): the strongly connected components of two and more ids, named by their largest id.
+
+    Every id takes the largest id that reaches it; those from which that one is
+    reached again within its label are its component. The rest goes on with
+    the steps inside one label until none is left, so cycles of any length count.
+    """
+    scratch = Scratch(steps.sparkSession)
+    core = scratch.write(steps.select("source", "target").where("source is not null and target is not null and source != target").distinct())
+    found = core.select(F.col("source").alias("component"), F.col("source").alias("id")).where("false")
+    while not core.isEmpty():
+        # Only ids with a way in and a way out can be on a cycle.
+        before, left = -1, core.count()
+        while left != before:
+            core = scratch.write(core.join(core.select(F.col("target").alias("source")).distinct(), "source", "left_semi").join(core.select(F.col("source").alias("target")).distinct(), "target", "left_semi").select("source", "target"))
+            before, left = left, core.count()
+        if not left:
+            break
+        label = scratch.write(core.select(F.col("source").alias("id")).distinct().withColumn("label", F.col("id")).withColumn("changed", F.lit(True)))
+        while not label.where("changed").isEmpty():
+            passed = core.join(label.where("changed").select(F.col("id").alias("source"), "label"), "source").select(F.col("target").alias("id"), "label", F.lit(None).cast("string").alias("own"))
+            joined = label.select("id", "label", F.col("label").alias("own")).unionByName(passed).groupBy("id").agg(F.max("label").alias("label"), F.max("own").alias("own"))
+            label = scratch.write(joined.select("id", "label", (F.col("label") != F.col("own")).alias("changed")))
+        a = label.select(F.col("id").alias("source"), F.col("label").alias("a"))
+        b = label.select(F.col("id").alias("target"), F.col("label").alias("b"))
+        inside = scratch.write(core.join(a, "source").join(b, "target").where("a = b").select("source", "target"))
+        back = reach(inside.select(F.col("target").alias("source"), F.col("source").alias("target")), label.where("id = label").select("id"), None)
+        done = scratch.write(back.select("id").join(label, "id").select(F.col("label").alias("component"), "id"))
+        found = found.unionByName(done)
+        core = scratch.write(inside.join(done.select(F.col("id").alias("source")), "source", "left_anti").join(done.select(F.col("id").alias("target")), "target", "left_anti").select("source", "target"))
+    sizes = found.groupBy("component").agg(F.count("*").alias("size")).where("size > 1")
+    return found.join(sizes, "component").select("component", "id", "size")
+
+
 # Annotations that make a symbol an entry point, by kind of entry.
 ENTRY_ANNOTATIONS = {
     "GetMapping": "rest_endpoint", "PostMapping": "rest_endpoint", "PutMapping": "rest_endpoint", "DeleteMapping": "rest_endpoint", "PatchMapping": "rest_endpoint",

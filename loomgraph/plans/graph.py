@@ -153,6 +153,9 @@ _CYC = "select array_to_string(path, '>') as path, cast(len(path) as integer) as
 _CYCP = "p as (select source as at_, [source] as path from (select distinct source from {s}) union all select s.target, list_append(p.path, s.target) from p join {s} s on s.source = p.at_ where s.target > p.path[1] and not list_contains(p.path, s.target) and len(p.path) < {n})"
 add("module_cycles", lambda t: traversal.cycles(traversal.module_steps(t.edges, t.nodes, "imports"), 3).select(F.array_join("path", ">").alias("path"), "length"), _CYC.format(s="ms"), CN, _MS, _CYCP.format(s="ms", n=3))
 add("import_cycles", lambda t: traversal.cycles(links.file_dependencies(t.edges, t.nodes).select(F.col("file_path").alias("source"), F.col("depends_on").alias("target")), 4).select(F.array_join("path", ">").alias("path"), "length"), _CYC.format(s="fd"), CN, _FD, _CYCP.format(s="fd", n=4))
+# Cycles and paths above are listed up to the length that stands there; components hold the cycles of every length.
+add("module_components", lambda t: traversal.components(traversal.module_steps(t.edges, t.nodes, "imports")))
+add("import_components", lambda t: traversal.components(links.file_dependencies(t.edges, t.nodes).select(F.col("file_path").alias("source"), F.col("depends_on").alias("target"))))
 add("page_fanout", lambda t: traversal.page_fanout(t.edges, t.nodes, t.files.where(F.col("path").endswith(".vue"))).groupBy("seed", "depth").agg(F.count("*").alias("n_files")))
 add("transitive_callers", lambda t: traversal.transitive_callers(t.edges, t.nodes))
 add("related_symbols", lambda t: traversal.related_symbols(t.edges, t.nodes).groupBy("symbol", "relation").agg(F.count("*").alias("n_others")), "select symbol, relation, count(*) as n_others from (select source as symbol, 'callee' as relation, target as o from calls where target in (select id from cn) union all select target, 'caller', source from calls where source in (select id from cn) union all select parent_id, 'child', id from cn where parent_id is not null union all select id, 'parent', parent_id from cn where parent_id in (select id from cn) union all select distinct target, 'implementation', source from edges where kind = 'implements') group by 1, 2", CN, CALLS)

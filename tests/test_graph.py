@@ -180,6 +180,14 @@ def test_workspace_reads_poms(spark):
     assert got == {("consumes", "svc/a", "dependency", "o:json:2"), ("consumes", "svc/b", "dependency", "o:xml:2")}
 
 
+def test_components_of_any_size(spark):
+    # A ring of five, a way from it to a ring of two, and a tail.
+    ring = [(f"a{i}", f"a{(i + 1) % 5}") for i in range(5)]
+    steps = spark.createDataFrame([*ring, ("a2", "z1"), ("z1", "z2"), ("z2", "z1"), ("z2", "t"), ("s", "a0"), ("t", "t")], "source string, target string")
+    got = {(r.component, r.id, r.size) for r in traversal.components(steps).collect()}
+    assert got == {("a4", f"a{i}", 5) for i in range(5)} | {("z2", "z1", 2), ("z2", "z2", 2)}
+
+
 def test_traces_keep_all_that_is_touched_outside(spark):
     n = nodes(spark, {"id": "E", "kind": "entry_point"}, {"id": "E.m", "kind": "method", "parent_id": "E"}, {"id": "s", "kind": "method"}, {"id": "q", "kind": "method"})
     e = edges(spark, ("E.m", "s", "calls", None), ("E.m", "q", "calls", None), ("s", "topic:b", "dispatch_call", None), ("s", "cache:a", "references", None), ("s", "ext://x/Y", "calls", None), ("s", "topic:b", "references", None))

@@ -133,6 +133,13 @@ def _levels(depth: int, first: int = 0) -> str:
     return " union all ".join(f"select id, {i} as depth from l{i}" for i in range(first, depth + 1))
 
 
+def _walk(seeds: str, steps: str) -> str:
+    """The same without a number of levels: one row per level with its ids and all before, until a level is empty."""
+    return f"""levels as (select 0 as depth, list(distinct id) as ids, list(distinct id) as seen from ({seeds}) where id is not null
+  union all select depth + 1, found, seen || found from (select l.depth, l.seen, (select list(distinct s.target) from {steps} s where s.source in (select unnest(l.ids)) and s.target not in (select unnest(l.seen))) as found from levels l) where len(found) > 0),
+  walk as (select unnest(ids) as id, depth from levels)"""
+
+
 _CHANGED = "select n.id from cn n where n.file_path in (select path from file_changes where op = 'modified')"
 add("impact", lambda t: traversal.impact(t.edges, t.nodes, _changed(t), 3), _levels(3, 1), CN, _STEPS, _reach(_CHANGED, "steps", 3))
 
@@ -144,7 +151,7 @@ def _changed(t):
 
 _ENTRY = "entry as (select n.id from cn n left join (select distinct node_id from ann where annotation_name in ('GetMapping', 'PostMapping', 'PutMapping', 'DeleteMapping', 'PatchMapping', 'RequestMapping', 'RabbitListener', 'KafkaListener', 'JmsListener', 'Scheduled', 'SchedulingConfigurer', 'VueRoute', 'Route', 'Component')) a on a.node_id = n.id where a.node_id is not null or n.kind = 'entry_point' or (n.name = 'main' and regexp_matches(n.file_path, '[.](java|kt)$')))"
 add("entry_points", lambda t: traversal.entry_points(t.edges, t.nodes).select("id"), "select id from entry", CN, ANN, _ENTRY)
-add("backtrace_distance", lambda t: traversal.distance_from_entry(t.edges, t.nodes), _levels(4), CN, ANN, _ENTRY, "fwd as (select distinct source, target from edges where kind in ('calls', 'contains') and target in (select id from cn))", _reach("select id from entry", "fwd", 4))
+add("backtrace_distance", lambda t: traversal.distance_from_entry(t.edges, t.nodes), "select id, depth from walk", CN, ANN, _ENTRY, "fwd as (select distinct source, target from edges where kind in ('calls', 'contains') and source is not null and target in (select id from cn))", _walk("select id from entry", "fwd"))
 add("dispatch_chain", lambda t: traversal.dispatch_chain(t.edges, graph.current_nodes(t.nodes, "kind").where("kind = 'interface'"), 3), _levels(3), CN, f"both_ as (select source, target from edges where kind in {DISPATCH} and source is not null and target is not null union select target, source from edges where kind in {DISPATCH} and source is not null and target is not null)", _reach("select id from cn where kind = 'interface'", "both_", 3))
 _MS = "ms as (select distinct a.module_id as source, b.module_id as target from edges e join cn a on a.id = e.source join cn b on b.id = e.target where e.kind = 'imports' and a.module_id <> '' and b.module_id <> '' and a.module_id <> b.module_id)"
 add("module_paths", lambda t: traversal.simple_paths(traversal.module_steps(t.edges, t.nodes, "imports"), t.modules, None, 3).select(F.array_join("path", ">").alias("path"), "length"), "select array_to_string(path, '>') as path, cast(len(path) - 1 as integer) as length from p where len(path) > 1", CN, _MS, "p as (select id as at_, [id] as path from modules union all select ms.target, list_append(p.path, ms.target) from p join ms on ms.source = p.at_ where not list_contains(p.path, ms.target) and len(p.path) <= 3)")
@@ -171,10 +178,9 @@ add("resolve_calls", lambda t: resolution.resolve_by_name(t.edges, t.nodes, t.ex
     and target not in (select id from nodes where id is not null) and target not in (select id from external_symbols)) u left join cn s on s.id = u.source) where coalesce(rf, ro, rm, ra) is not null""", CN, f"cand as (select * from cn where kind in {CALLABLE})")
 add("promoted_kinds", lambda t: resolution.promoted_edges(t.edges, t.nodes), f"select e.kind, case when e.kind = 'calls' and n.kind in ('class', 'enum', 'component') then 'instantiates' when e.kind = 'instantiates' and n.kind in {CALLABLE} then 'calls' when e.kind = 'extends' and n.kind = 'interface' then 'implements' else e.kind end as promoted, count(*) as n_edges from (select distinct source, target, kind from edges) e join cn n on n.id = e.target group by 1, 2", CN)
 add("match_references", lambda t: resolution.match_references(t.edges.select(F.get_json_object("metadata", "$.name").alias("ref")).where("ref is not null"), t.nodes), """select ref, id, confidence, case when contains(q, ref) then 'qualified_name_contains' when name = ref then 'exact_name' when ends_with(q, '.' || ref) then 'qualified_suffix' else 'weak' end as strategy from (
-  select *, row_number() over (partition by ref order by confidence desc, id) as r from (select r.ref, n.id, n.name, coalesce(n.qualified_name, n.name) as q,
-    case when contains(coalesce(n.qualified_name, n.name), r.ref) then greatest(0.5, case when n.name = r.ref and n.qualified_name = r.ref then 0.9 when n.name = r.ref then 0.7 when ends_with(n.qualified_name, '.' || r.ref) then 0.6 else 0.3 end)
-      else case when n.name = r.ref and n.qualified_name = r.ref then 0.9 when n.name = r.ref then 0.7 when ends_with(n.qualified_name, '.' || r.ref) then 0.6 else 0.3 end end::double as confidence
-  from (select distinct json_extract_string(metadata, '$.name') as ref from edges) r join cn n on n.name = regexp_extract(r.ref, '[^.]*$') or regexp_extract(regexp_replace(n.qualified_name, '\(.*$', ''), '[^.]*$') = regexp_extract(r.ref, '[^.]*$')) where confidence >= 0.5) where r <= 10""", CN)
+  select *, row_number() over (partition by ref order by confidence desc, id) as r from (select *, cast(case when contains(q, ref) then greatest(0.5, base) else base end as double) as confidence from (
+    select r.ref, n.id, n.name, n.q, case when n.name = r.ref and n.q = r.ref then 0.9 when n.name = r.ref then 0.7 when ends_with(n.q, '.' || r.ref) then 0.6 else 0.3 end as base
+    from (select distinct json_extract_string(metadata, '$.name') as ref from edges) r join (select id, name, coalesce(qualified_name, name) as q from cn) n on n.name = r.ref or (r.ref <> '' and contains(n.q, r.ref)))) where confidence >= 0.5) where r <= 10""", CN)
 add("names_in_other_modules", lambda t: resolution.names_in_other_modules(t.nodes), "select name, count(distinct module_id) as n_modules, count(*) as n_symbols from cn where kind in ('class', 'interface') and module_id <> '' group by name having count(distinct module_id) > 1", CN)
 _FC = "fc as (select path, regexp_replace(arg_max(content, (indexed_at, content_hash)), chr(13), '', 'g') as content from files where content is not null and path is not null group by path)"
 _IM = "im as (select distinct path, unnest(regexp_extract_all(content, '(?m)^import (?:static )?([\\w.]+);?$', 1) || regexp_extract_all(content, '(?m)^import [^''\"\\n]* from [''\"]([^''\"\\n]+)[''\"]', 1) || regexp_extract_all(content, '(?m)^from ([\\w.]+) import \\w+', 1)) as imported from fc)"

@@ -35,8 +35,8 @@ def _peel(scratch: Scratch, inner: DataFrame, rounds: int) -> tuple[list[DataFra
     """Removes leaves, at most ``rounds`` times: the table before each round and after the last."""
     layers, left = [inner], inner.count()
     for _ in range(rounds):
-        smaller = scratch.write(inner_links(layers[-1]))
-        before, left = left, smaller.count()
+        smaller, found = scratch.counted(inner_links(layers[-1]))
+        before, left = left, found["rows"]
         layers.append(smaller)
         if left == before or not left:
             break
@@ -60,8 +60,11 @@ def never_ending(scratch: Scratch, inner: DataFrame) -> DataFrame:
 
     ``inner`` is a written table of inner_links. Peeling leaves removes whole
     branches; doubling then drops every row whose chain has ended. The rest is
-    closed under "parent of" exactly when no chain in it ends, which is tested
-    each round, so the number of rounds follows the longest chain, not N.
+    closed under "parent of" exactly when no chain in it ends. From then on the
+    smallest ids seen only change while a ring isn't gone round once, and the
+    ids that are still hopped to get fewer while some of them lie before a
+    ring. When neither happens any more all hops are on rings, so the rounds
+    are the logarithm of the longest chain or ring, however many ids there are.
     """
     layers, left = _peel(scratch, inner, PEEL_ROUNDS)
     core, spark = layers[-1], scratch.spark
@@ -69,25 +72,25 @@ def never_ending(scratch: Scratch, inner: DataFrame) -> DataFrame:
     if not left:
         return empty
     # hop = id after 2^k steps; low = smallest id among the 2^k ids from here on
-    jumps = core.select("id", "parent", F.col("parent").alias("hop"), F.col("id").alias("low"))
-    span = 1
-    known_closed = False
+    jumps = core.select("id", "parent", F.col("parent").alias("hop"), F.col("id").alias("low"), F.lit(True).alias("lower"))
+    known_closed, hops, before = False, None, None
     while True:
         other = jumps.select(F.col("id").alias("hop"), F.col("hop").alias("_hop"), F.col("low").alias("_low"))
-        joined = jumps.join(other, "hop").select("id", "parent", F.col("_hop").alias("hop"), F.least("low", "_low").alias("low"))
-        following = scratch.write(joined)
-        span *= 2
-        now = following.count()
-        if not now:
+        least = F.least("low", "_low")
+        joined = jumps.join(other, "hop").select("id", "parent", F.col("_hop").alias("hop"), least.alias("low"), (least < F.col("low")).alias("lower"))
+        following, found = scratch.counted(joined, lower=F.count_if("lower"))
+        scratch.drop(jumps)
+        jumps = following
+        if not found["rows"]:
             return empty
         if not known_closed:
-            stored = following.select(F.col("id").alias("parent"))
-            known_closed = following.join(stored, "parent", "left_anti").isEmpty()
-        jumps = following
-        if known_closed and span >= now:
-            break
+            known_closed = jumps.join(jumps.select(F.col("id").alias("parent")), "parent", "left_anti").isEmpty()
+        if known_closed and not found["lower"]:
+            hops, before = scratch.counted(jumps.select(F.col("hop").alias("id")).distinct()), hops
+            if before and before[1]["rows"] == hops[1]["rows"]:
+                break
     rings = scratch.write(
-        jumps.select(F.col("hop").alias("id")).distinct().join(jumps.select("id", F.col("low").alias("cycle_id")), "id")
+        hops[0].join(jumps.select("id", F.col("low").alias("cycle_id")), "id")
     )
     # Each ring is cut: its ids are ends with distance 0, all others are ranked against them.
     tails = (
@@ -99,18 +102,19 @@ def never_ending(scratch: Scratch, inner: DataFrame) -> DataFrame:
             F.coalesce("cycle_id", F.lit(None).cast("string")).alias("cycle_id"),
         )
     )
-    ranked = scratch.write(tails)
-    while not ranked.where("hop is not null").isEmpty():
+    ranked, found = scratch.counted(tails, open=F.count("hop"))
+    while found["open"]:
         other = ranked.select(
             F.col("id").alias("hop"), F.col("hop").alias("_hop"), F.col("steps").alias("_steps"), F.col("cycle_id").alias("_cycle")
         )
-        following = scratch.write(
+        following, found = scratch.counted(
             ranked.join(other, "hop", "left").select(
                 "id",
                 F.col("_hop").alias("hop"),
                 (F.col("steps") + F.coalesce("_steps", F.lit(0))).alias("steps"),
                 F.coalesce("cycle_id", "_cycle").alias("cycle_id"),
-            )
+            ),
+            open=F.count("hop"),
         )
         scratch.drop(ranked)
         ranked = following
@@ -135,17 +139,19 @@ def cyclic(nodes: DataFrame) -> DataFrame:
 
 def _double(scratch: Scratch, ranked: DataFrame) -> DataFrame:
     """Pointer doubling to the root: (id, hop, path) until no pointer is left."""
-    while not ranked.where("hop is not null").isEmpty():
+    open_ones = True
+    while open_ones:
         other = ranked.select(F.col("id").alias("hop"), F.col("hop").alias("_hop"), F.col("path").alias("_path"))
-        following = scratch.write(
+        following, found = scratch.counted(
             ranked.join(other, "hop", "left").select(
                 "id",
                 F.col("_hop").alias("hop"),
                 F.when(F.col("_path").isNull(), F.col("path")).otherwise(F.concat("_path", "path")).alias("path"),
-            )
+            ),
+            open=F.count("hop"),
         )
         scratch.drop(ranked)
-        ranked = following
+        ranked, open_ones = following, found["open"]
     return ranked
 
 
@@ -200,16 +206,17 @@ def _tour(inner: DataFrame, leaves: DataFrame) -> DataFrame:
 
 def _list_rank(scratch: Scratch, tour: DataFrame) -> DataFrame:
     """(el, rank, marks): weights and marks from each element to the end of its list."""
-    ranked = scratch.write(tour.select("el", "next", F.col("weight").alias("rank"), F.col("mark").alias("marks")))
-    while not ranked.where("next is not null").isEmpty():
+    ranked, found = scratch.counted(tour.select("el", "next", F.col("weight").alias("rank"), F.col("mark").alias("marks")), open=F.count("next"))
+    while found["open"]:
         other = ranked.select(F.col("el").alias("next"), F.col("next").alias("_next"), F.col("rank").alias("_rank"), F.col("marks").alias("_marks"))
-        following = scratch.write(
+        following, found = scratch.counted(
             ranked.join(other, "next", "left").select(
                 "el",
                 F.col("_next").alias("next"),
                 (F.col("rank") + F.coalesce("_rank", F.lit(0))).alias("rank"),
                 (F.col("marks") + F.coalesce("_marks", F.lit(0))).alias("marks"),
-            )
+            ),
+            open=F.count("next"),
         )
         scratch.drop(ranked)
         ranked = following
@@ -326,13 +333,23 @@ def ancestors(tree: DataFrame) -> DataFrame:
 
 
 def below(tree: DataFrame, ids: DataFrame) -> DataFrame:
-    """(ancestor_id, id) of the symbols below the given ids, by their intervals."""
-    tops = tree.join(ids.select("id"), "id", "left_semi").select(
-        F.col("id").alias("ancestor_id"), "root_id", F.col("entry").alias("_from"), F.col("exit").alias("_to")
-    )
-    return (
-        tree.select("id", "root_id", "entry")
-        .join(tops, "root_id")
-        .where((F.col("entry") > F.col("_from")) & (F.col("entry") <= F.col("_to")))
-        .select("ancestor_id", "id")
-    )
+    """(ancestor_id, id) of the symbols below the given ids, by their intervals.
+
+    An interval is laid out in blocks whose length is a power of two, at most
+    two of each length; a symbol lies in one block of each length. So the
+    interval join is an equi-join on root, length and block, and a large root
+    isn't paired with all its symbols.
+    """
+    tops = tree.join(ids.select("id").distinct(), "id", "left_semi").where("entry < exit").select(F.col("id").alias("ancestor_id"), "root_id", (F.col("entry") + 1).alias("a"), (F.col("exit") + 1).alias("b"))
+    longest = tops.agg(F.max(F.expr("b - a"))).first()[0]
+    if not longest:
+        return tops.select("ancestor_id", F.col("ancestor_id").alias("id")).where("false")
+    levels = F.explode(F.sequence(F.lit(0), F.lit(int(longest).bit_length()))).alias("k")
+    # [a, b): on level k the block at either end is taken if it doesn't fill a block of level k + 1 inside the interval.
+    size = F.expr("shiftleft(1L, k)")
+    left, right = F.ceil(F.col("a") / size).cast("long"), F.floor(F.col("b") / size).cast("long")
+    cover = tops.select("ancestor_id", "root_id", "a", "b", levels).withColumn("l", left).withColumn("r", right).where("l < r")
+    ends = F.array_compact(F.array_distinct(F.array(F.when(F.expr("l % 2 = 1"), F.col("l")), F.when(F.expr("r % 2 = 1"), F.col("r") - 1))))
+    cover = cover.select("ancestor_id", "root_id", "k", F.explode(ends).alias("block"))
+    placed = tree.where("entry is not null").select("id", "root_id", "entry", levels).select("id", "root_id", "k", F.floor(F.col("entry") / size).cast("long").alias("block"))
+    return placed.join(cover, ["root_id", "k", "block"]).select("ancestor_id", "id")

@@ -30,16 +30,12 @@ def reach(steps: DataFrame, seeds: DataFrame, depth: int | None, per_seed: bool
     seen = [frontier]
     for level in count(1) if depth is None else range(1, depth + 1):
         following = frontier.select(*keys).withColumnRenamed("id", "source").join(steps, "source").select(*[k for k in keys if k != "id"], F.col("target").alias("id")).distinct()
-        for old in seen:
-            following = following.join(old.select(*keys), keys, "left_anti")
-        frontier = scratch.write(following.withColumn("depth", F.lit(level)))
-        if frontier.isEmpty():
+        following = following.join(scratch.together(seen).select(*keys), keys, "left_anti")
+        frontier, found = scratch.counted(following.withColumn("depth", F.lit(level)))
+        if not found["rows"]:
             break
         seen.append(frontier)
-    out = seen[0]
-    for part in seen[1:]:
-        out = out.unionByName(part)
-    return out
+    return scratch.together(seen)
 
 
 def impact_steps(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -87,10 +83,10 @@ def cycles(steps: DataFrame, length: int) -> DataFrame:
     left = core.count()
     while left:
         smaller = core.join(core.select(F.col("target").alias("source")).distinct(), "source", "left_semi").join(core.select(F.col("source").alias("target")).distinct(), "target", "left_semi")
-        smaller = scratch.write(smaller.select("source", "target"))
-        now = smaller.count()
-        core, before, left = smaller, left, now
-        if now == before:
+        smaller, found = scratch.counted(smaller.select("source", "target"))
+        scratch.drop(core)
+        core, before, left = smaller, left, found["rows"]
+        if left == before:
             break
     frontier = core.where("source < target").select(F.col("source").alias("start"), F.col("target").alias("at"), F.array("source", "target").alias("path"))
     found = None
@@ -118,15 +114,17 @@ def components(steps: DataFrame) -> DataFrame:
         # Only ids with a way in and a way out can be on a cycle.
         before, left = -1, core.count()
         while left != before:
-            core = scratch.write(core.join(core.select(F.col("target").alias("source")).distinct(), "source", "left_semi").join(core.select(F.col("source").alias("target")).distinct(), "target", "left_semi").select("source", "target"))
-            before, left = left, core.count()
+            core, n = scratch.counted(core.join(core.select(F.col("target").alias("source")).distinct(), "source", "left_semi").join(core.select(F.col("source").alias("target")).distinct(), "target", "left_semi").select("source", "target"))
+            before, left = left, n["rows"]
         if not left:
             break
         label = scratch.write(core.select(F.col("source").alias("id")).distinct().withColumn("label", F.col("id")).withColumn("changed", F.lit(True)))
-        while not label.where("changed").isEmpty():
+        moved = True
+        while moved:
             passed = core.join(label.where("changed").select(F.col("id").alias("source"), "label"), "source").select(F.col("target").alias("id"), "label", F.lit(None).cast("string").alias("own"))
             joined = label.select("id", "label", F.col("label").alias("own")).unionByName(passed).groupBy("id").agg(F.max("label").alias("label"), F.max("own").alias("own"))
-            label = scratch.write(joined.select("id", "label", (F.col("label") != F.col("own")).alias("changed")))
+            label, n = scratch.counted(joined.select("id", "label", (F.col("label") != F.col("own")).alias("changed")), changed=F.count_if("changed"))
+            moved = n["changed"] > 0
         a = label.select(F.col("id").alias("source"), F.col("label").alias("a"))
         b = label.select(F.col("id").alias("target"), F.col("label").alias("b"))
         inside = scratch.write(core.join(a, "source").join(b, "target").where("a = b").select("source", "target"))
@@ -186,12 +184,14 @@ def transitive_callers(edges: DataFrame, nodes: DataFrame, depth: int | None = N
     first = calls.groupBy(F.col("target").alias("id")).agg(F.hll_sketch_agg("source", F.lit(12)).alias("sketch"))
     state = scratch.write(first.withColumn("mark", F.lit(None).cast("string")).withColumn("changed", F.lit(True)))
     done = 1
-    while (depth is None or done < depth) and not state.where("changed").isEmpty():
+    changed = True
+    while (depth is None or done < depth) and changed:
         passed = state.where("changed").select(F.col("id").alias("source"), "sketch")
         inherited = calls.join(passed, "source").select(F.col("target").alias("id"), "sketch", F.lit(None).cast("string").alias("mark"))
         joined = state.select("id", "sketch", "mark").unionByName(inherited).groupBy("id").agg(F.hll_union_agg("sketch").alias("sketch"), F.max("mark").alias("before"))
         marked = joined.withColumn("mark", _sketch_mark("sketch"))
-        following = scratch.write(marked.select("id", "sketch", "mark", (~F.col("mark").eqNullSafe(F.col("before"))).alias("changed")))
+        following, n = scratch.counted(marked.select("id", "sketch", "mark", (~F.col("mark").eqNullSafe(F.col("before"))).alias("changed")), changed=F.count_if("changed"))
+        changed = n["changed"] > 0
         scratch.drop(state)
         state = following
         done += 1

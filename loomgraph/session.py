@@ -7,7 +7,8 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
@@ -73,6 +74,19 @@ class Scratch:
         out._scratch = path
         return out
 
+    def counted(self, df: DataFrame, **measures: Column) -> tuple[DataFrame, dict[str, int]]:
+        """A written table and its number of rows, ``rows``, with more aggregates; all taken while it is written."""
+        seen = Observation()
+        out = self.write(df.observe(seen, F.count(F.lit(1)).alias("rows"), *[m.alias(name) for name, m in measures.items()]))
+        found = seen.get
+        if "rows" not in found:  # a plan that was replaced by an empty one reports nothing
+            found = out.agg(F.count(F.lit(1)).alias("rows"), *[m.alias(name) for name, m in measures.items()]).first().asDict()
+        return out, {name: value or 0 for name, value in found.items()}
+
+    def together(self, tables: list[DataFrame]) -> DataFrame:
+        """Written tables of one schema as a single scan."""
+        return self.spark.read.schema(tables[0].schema).parquet(*[t._scratch for t in tables])
+
     def drop(self, df: DataFrame | None) -> None:
         if df is not None and getattr(df, "_scratch", None):
             self._delete(df._scratch)

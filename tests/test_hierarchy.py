@@ -84,3 +84,10 @@ def test_many_siblings_in_buckets(spark, monkeypatch):
 def test_empty_table(spark):
     assert hierarchy.cyclic(frame(spark, [])).count() == 0
     assert hierarchy.hierarchy(frame(spark, [])).count() == 0
+
+
+def test_many_short_rings_and_one_long_chain(spark):
+    rows = [(f"r{i}.{k}", f"r{i}.{(k + 1) % 3}", i * 3 + k) for i in range(30) for k in range(3)]
+    rows += [(f"t{i}", f"t{i + 1}" if i < 69 else "r7.1", 1000 + i) for i in range(70)]
+    rings, _ = brute(rows)
+    assert {r.id: (r.cycle_id, r.steps) for r in hierarchy.cyclic(frame(spark, rows)).collect()} == rings

@@ -3,8 +3,7 @@
 A Bloom filter of the stored ids, whose size has a fixed bound, is broadcast:
 what it doesn't hold is certainly not stored and needs no join. Only the rest
 is joined exactly. Of those, only references to ids that were ever deleted need
-the order of events; it is found in windows of one key and one day, so that no
-hot key is sorted by a single task.
+the order of events: they are held against the times in which an id was gone.
 """
 
 from __future__ import annotations
@@ -13,10 +12,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-# Words of 64 bits in the broadcast filter: at most 2^20, or 16 MB on the wire.
-MAX_FILTER_WORDS = 1 << 20
-BITS_PER_KEY = 16
-PROBES = 4
+from loomgraph.session import Scratch
+
+# Words of 64 bits in the broadcast filter: at most 2^22, or 32 MB. A false hit
+# only means one exact lookup more, so few bits a key are enough.
+MAX_FILTER_WORDS = 1 << 22
+CHUNK_WORDS = 1 << 10
+BITS_PER_KEY = 6
+PROBES = 3
 # Rows up to which a side table is broadcast after its size was checked.
 SMALL_TABLE_ROWS = 10_000
 # Ends with these prefixes name things kept outside the tables.
@@ -30,53 +33,53 @@ def micros(column: str):
 
 def _word_and_mask(key: str, words: int):
     hashed = F.xxhash64(F.col(key))
-    word = F.pmod(hashed, F.lit(words)).alias("_word")
+    word = F.pmod(hashed, F.lit(words))
     other = F.xxhash64(F.col(key), F.lit(1))
     mask = None
     for probe in range(PROBES):
         bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.call_function("shiftrightunsigned", other, F.lit(6 * probe)).bitwiseAND(F.lit(63)).cast("int"))
         mask = bit if mask is None else mask.bitwiseOR(bit)
-    return word, mask.alias("_mask")
+    return word, mask
 
 
-def bloom_filter(keys: DataFrame, key: str, expected: int) -> tuple[DataFrame, int]:
-    """(word, bits) rows of a blocked Bloom filter, and its number of words.
+def filter_words(keys: int) -> int | None:
+    """Words of a filter for so many keys; None where it would grow beyond the bound of a broadcast."""
+    words = max(CHUNK_WORDS, -(-keys * BITS_PER_KEY // 64))
+    return words if words <= MAX_FILTER_WORDS else None
 
-    Each key sets four bits of one 64-bit word. The number of words grows with
-    ``expected`` up to MAX_FILTER_WORDS; beyond that more keys pass and the
-    exact join after it does more, but no answer changes.
-    """
-    words = max(64, min(MAX_FILTER_WORDS, expected * BITS_PER_KEY // 64))
+
+def bloom_filter(keys: DataFrame, key: str, words: int) -> DataFrame:
+    """(chunk, words): a blocked Bloom filter, CHUNK_WORDS words of 64 bits a row. A key sets a few bits of one word."""
     word, mask = _word_and_mask(key, words)
-    rows = keys.where(F.col(key).isNotNull()).select(word, mask).groupBy("_word").agg(F.bit_or("_mask").alias("_bits"))
-    return rows, words
+    rows = keys.where(F.col(key).isNotNull()).select(word.alias("_word"), mask.alias("_mask")).groupBy("_word").agg(F.bit_or("_mask").alias("_bits"))
+    place = F.struct((F.col("_word") % CHUNK_WORDS).cast("int").alias("k"), F.col("_bits").alias("v"))
+    chunks = rows.groupBy((F.col("_word") / CHUNK_WORDS).cast("int").alias("_chunk")).agg(F.map_from_entries(F.collect_list(place)).alias("_m"))
+    return chunks.select("_chunk", F.expr(f"transform(sequence(0, {CHUNK_WORDS - 1}), i -> coalesce(element_at(_m, i), 0L))").alias("_words"))
 
 
-def probe(df: DataFrame, key: str, rows: DataFrame, words: int, flag: str) -> DataFrame:
-    """Adds ``flag``: false where the key is certainly not in the filter."""
+def probe(df: DataFrame, key: str, rows: DataFrame | None, words: int | None, flag: str) -> DataFrame:
+    """Adds ``flag``: false where the key is certainly not in the filter; true for all without one."""
+    if words is None:
+        return df.withColumn(flag, F.lit(True))
     word, mask = _word_and_mask(key, words)
-    probed = df.select("*", word, mask).join(F.broadcast(rows), "_word", "left")
-    hit = F.coalesce(F.col("_bits").bitwiseAND(F.col("_mask")) == F.col("_mask"), F.lit(False))
-    return probed.withColumn(flag, hit).drop("_word", "_mask", "_bits")
+    placed = df.select("*", word.alias("_word"), mask.alias("_mask")).withColumn("_chunk", (F.col("_word") / CHUNK_WORDS).cast("int"))
+    probed = placed.join(F.broadcast(rows), "_chunk", "left")
+    bits = F.col("_words")[(F.col("_word") % CHUNK_WORDS).cast("int")]
+    hit = F.coalesce(bits.bitwiseAND(F.col("_mask")) == F.col("_mask"), F.lit(False))
+    return probed.withColumn(flag, hit).drop("_chunk", "_word", "_mask", "_words")
+
+
+# Where a reference stands, by the number that is carried through the joins.
+PLACES = (("edges", "source"), ("edges", "target"), ("nodes", "parent_id"))
 
 
 def all_references(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(ref_table, ref_field, ref, seq, t): every reference of every row, repeated and outdated ones too."""
-    ends = edges.select(
-        "seq",
-        F.col("created_at").alias("t"),
-        F.explode(
-            F.array(
-                F.struct(F.lit("source").alias("ref_field"), F.col("source").alias("ref")),
-                F.struct(F.lit("target").alias("ref_field"), F.col("target").alias("ref")),
-            )
-        ).alias("end"),
-    ).select(F.lit("edges").alias("ref_table"), "end.ref_field", "end.ref", "seq", "t")
+    """(place, ref, seq, t): every reference of every row, repeated and outdated ones too; place counts in PLACES."""
+    pair = F.explode(F.array(*[F.struct(F.lit(at).cast("byte").alias("place"), F.col(name).alias("ref")) for at, name in enumerate(("source", "target"))]))
+    ends = edges.select("seq", F.col("created_at").alias("t"), pair.alias("end")).select("end.place", "end.ref", "seq", "t")
     for prefix in OUTSIDE:
         ends = ends.where(~F.col("ref").startswith(prefix))
-    parents = nodes.select(
-        F.lit("nodes").alias("ref_table"), F.lit("parent_id").alias("ref_field"), F.col("parent_id").alias("ref"), "seq", F.col("created_at").alias("t")
-    )
+    parents = nodes.select(F.lit(2).cast("byte").alias("place"), F.col("parent_id").alias("ref"), "seq", F.col("created_at").alias("t"))
     return ends.unionByName(parents).where("ref is not null and ref != ''")
 
 
@@ -102,25 +105,6 @@ def next_event(left: DataFrame, right: DataFrame, keys: list[str], at: str, when
     return joined.drop("_day", "_at", "_when", "_left", "_same", "_carried")
 
 
-def last_event(left: DataFrame, right: DataFrame, key: str, at: str, when: str, value: str, out: str) -> DataFrame:
-    """As-of join backwards: ``value`` of the last right row of the key with ``when <= left.at``."""
-    day = lambda c: F.to_date(F.timestamp_micros(F.col(c))).alias("_day")
-    pair = F.struct(F.col(when).alias("w"), F.col(value).alias("v"))
-    marks = right.select(key, F.col(when).alias("_at"), pair.alias("_pair"), day(when))
-    days = left.select(key, day(at)).distinct().withColumn("_pair", F.lit(None).cast(marks.schema["_pair"].dataType)).unionByName(
-        marks.select(key, "_day", "_pair")
-    ).groupBy(key, "_day").agg(F.max("_pair").alias("_pair"))
-    behind = Window.partitionBy(key).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
-    carried = days.select(key, "_day", F.max("_pair").over(behind).alias("_carried"))
-    both = left.withColumn("_day", day(at)).withColumn("_at", F.col(at)).withColumn("_left", F.lit(True)).unionByName(
-        marks.withColumn("_left", F.lit(False)), allowMissingColumns=True
-    )
-    within = Window.partitionBy(key, "_day").orderBy("_at").rangeBetween(Window.unboundedPreceding, 0)
-    found = both.withColumn("_same", F.max("_pair").over(within)).where("_left")
-    joined = found.join(carried, [key, "_day"], "left")
-    return joined.withColumn(out, F.coalesce("_same", "_carried")["v"]).drop("_day", "_at", "_pair", "_left", "_same", "_carried")
-
-
 def broken_references(edges: DataFrame, nodes: DataFrame, external_symbols: DataFrame, file_changes: DataFrame) -> DataFrame:
     """(ref_table, ref_field, seq, status, period): one row per reference that is missing, late or deleted.
 
@@ -130,54 +114,55 @@ def broken_references(edges: DataFrame, nodes: DataFrame, external_symbols: Data
     are left out. Empty tables give no rows, or ``missing`` for everything
     that refers to them.
     """
+    scratch = Scratch(edges.sparkSession)
     stored = nodes.where("id is not null and id != ''").select("id", micros("created_at").alias("c"), "file_path")
-    refs = all_references(edges, nodes).withColumn("u", micros("t")).withColumn("period", F.date_format("t", "yyyy-MM")).drop("t")
     early = F.lit(-(1 << 62)).cast("long")
     external = external_symbols.where("id is not null").groupBy("id").agg(F.min(F.coalesce(micros("created_at"), early)).alias("x_first"))
+    small = external.limit(SMALL_TABLE_ROWS + 1).count() <= SMALL_TABLE_ROWS
+    side = (F.broadcast(external) if small else external).withColumnRenamed("id", "ref")
 
-    summary = stored.groupBy("id").agg(F.min(F.coalesce("c", early)).alias("n_first"))
-    filter_rows, words = bloom_filter(stored, "id", nodes.count())
-    probed = probe(refs, "ref", filter_rows, words, "maybe")
-
-    outcome = ["ref_table", "ref_field", "seq", "status", "period"]
+    gone = absences(stored, file_changes)
+    gone = scratch.write(gone)
+    mortal = gone.select("id").distinct().withColumn("mortal", F.lit(True))
+    summary = stored.groupBy("id").agg(F.min(F.coalesce("c", early)).alias("n_first")).join(mortal, "id", "left").withColumnRenamed("id", "ref")
+    summary, found = scratch.counted(summary)
+    words = filter_words(found["rows"])
+    rows = bloom_filter(summary, "ref", words) if words else None
+    probed = probe(all_references(edges, nodes), "ref", rows, words, "maybe")
 
     def judged(df: DataFrame) -> DataFrame:
-        first = F.when(F.col("ref_table") == "edges", F.least("n_first", "x_first")).otherwise(F.col("n_first"))
-        return df.withColumn(
-            "status", F.when(first.isNull(), "missing").when(first > F.col("u"), "late")
-        )
+        first = F.when(F.col("place") < 2, F.least("n_first", "x_first")).otherwise(F.col("n_first"))
+        return df.withColumn("status", F.when(first.isNull(), "missing").when(first > micros("t"), "late"))
+
+    kept = ["place", "ref", "seq", "t", "status"]
+    absent = judged(probed.where("not maybe").join(side, "ref", "left").withColumn("n_first", F.lit(None).cast("long"))).where("status is not null").select(*kept)
+    present = judged(probed.where("maybe").drop("maybe").join(summary, "ref", "left").join(side, "ref", "left"))
+    # Only what is broken, or may be deleted, goes on; both come out of one pass.
+    open_ones = scratch.write(present.where("status is not null or (mortal and t is not null)").select(*kept).unionByName(absent))
+    pending = open_ones.where("status is null").withColumn("u", micros("t")).withColumn("month", F.date_trunc("month", F.timestamp_micros("u")))
+    last = gone.where("until is null").groupBy("id").agg(F.min("since").alias("since")).select(F.col("id").alias("ref"), F.col("since").alias("for_good"))
+    between = gone.where("until is not null").select(F.col("id").alias("ref"), "since", "until", F.explode(F.expr("sequence(date_trunc('month', timestamp_micros(since)), date_trunc('month', timestamp_micros(until)), interval 1 month)")).alias("month"))
+    again = pending.join(between, ["ref", "month"]).where("u >= since and u < until").select(*kept)
+    ended = pending.join(last, "ref").where("u >= for_good").select(*kept)
+    deleted = again.unionByName(ended).withColumn("status", F.lit("deleted"))
+    names = [F.element_at(F.array(*[F.lit(p[k]) for p in PLACES]), F.col("place").cast("int") + 1) for k in (0, 1)]
+    return open_ones.where("status is not null").unionByName(deleted).select(
+        names[0].alias("ref_table"), names[1].alias("ref_field"), "seq", "status", F.date_format("t", "yyyy-MM").alias("period")
+    )
 
-    small = external.limit(SMALL_TABLE_ROWS + 1).count() <= SMALL_TABLE_ROWS
-    side = (F.broadcast(external) if small else external).withColumnRenamed("id", "ref")
-    unknown = probed.where("not maybe").join(side, "ref", "left").withColumn("n_first", F.lit(None).cast("long"))
-    absent = judged(unknown).where("status is not null").select(*outcome)
 
-    # Ids of files that were ever deleted: (id, c, next deletion of its file after c).
+def absences(stored: DataFrame, file_changes: DataFrame) -> DataFrame:
+    """(id, since, until): when an id was gone: from the first deletion of its file after it was stored until it is stored again.
+
+    ``until`` is null where it never is. The times of one id don't overlap.
+    """
     gone = file_changes.where("op = 'deleted' and path is not null and changed_at is not null").select(
         F.col("path").alias("file_path"), micros("changed_at").alias("d")
     ).distinct()
     versions = stored.where("c is not null and file_path is not null").join(gone.select("file_path").distinct(), "file_path", "left_semi").distinct()
-    lives = next_event(versions, gone, ["file_path"], "c", "d", "until").groupBy("id", "c").agg(F.min("until").alias("until"))
-    mortal = lives.where("until is not null").select("id").distinct().withColumn("mortal", F.lit(True))
-    present = (
-        probed.where("maybe")
-        .join(summary.join(mortal, "id", "left").withColumnRenamed("id", "ref"), "ref", "left")
-        .join(side, "ref", "left")
-    )
-    present = judged(present)
-    settled = present.where("status is not null").select(*outcome)
-    pending = present.where("status is null and mortal and u is not null").select("ref_table", "ref_field", "seq", "period", "u", F.col("ref").alias("id"))
-    mine = all_versions(stored, lives)
-    dated = last_event(pending, mine, "id", "u", "c", "until", "until")
-    deleted = dated.where("until <= u").withColumn("status", F.lit("deleted")).select(*outcome)
-    return absent.unionByName(settled).unionByName(deleted)
-
-
-def all_versions(stored: DataFrame, lives: DataFrame) -> DataFrame:
-    """Every version of the ids that were ever deleted, with the end of its life where it has one."""
-    mortal = lives.where("until is not null").select("id").distinct()
-    rows = stored.where("c is not null").join(mortal, "id", "left_semi").select("id", "c").distinct()
-    return rows.join(lives, ["id", "c"], "left")
+    ends = next_event(versions, gone, ["file_path"], "c", "d", "since").groupBy("id", "c").agg(F.min("since").alias("since")).where("since is not null")
+    times = stored.where("c is not null").join(ends.select("id").distinct(), "id", "left_semi").select("id", F.col("c").alias("_c")).distinct()
+    return next_event(ends, times, ["id"], "c", "_c", "until").where("until is null or since < until").select("id", "since", "until")
 
 
 def broken_reference_report(broken: DataFrame) -> DataFrame:

@@ -8,40 +8,45 @@ words was cut. The last words together are held against all places where the
 corpus has them: if the text goes on there nearly always, it was cut here too.
 A length at which many texts of the source pile up lowers the bar.
 
-The corpus is read twice. The first pass leaves a few keys per open text; they
-fill a Bloom filter of fixed size, and the second pass counts only places whose
-key is in it, so that what is shuffled follows the open texts, not all n-grams.
+The corpus is tokenised once for all counts. The open texts leave a few keys
+each, 64-bit hashes of words; they fill a Bloom filter whose size follows their
+number, and the pass over the corpus counts only places whose key is in it, so
+that what is shuffled follows the open texts, not all n-grams. What depends on
+a word alone is worked out once per word and task; places are numpy arrays.
 """
 
 from __future__ import annotations
 
 import json
 import re
-from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.session import Scratch
 
-FILTER_WORDS = 1 << 18  # of 64 bits: 2 MB, whatever the corpus
+FILTER_BITS = 16  # a key, in the filter of keys
+MAX_FILTER_WORDS = 1 << 22  # of 64 bits: 32 MB; with more keys more places pass, and the join drops them
 SUPPORT = 20  # places that a context needs in the corpus
 GOES_ON = 0.01  # share of places with an end, up to which a text was cut
 GOES_ON_AT_LIMIT = 0.08  # the same for texts whose length is a limit of their source
 KNOWN_END = 3  # places where the same two or three words end a text or line
 KNOWN_END_RATE = 0.8  # and their share, from which they are an end here too
-PREFIX_CHARS = 10  # short last words are also looked up after the word before them
 LONGER_SHARE = 0.05  # texts that end with a word after its neighbour, against places with a longer word there: more is a habit
 MARK_CHARS = 120  # no mark is longer
-FLUSH = 200_000
+LAST_TOKENS = 8  # more than the contexts of an end take
+NEAR = 12  # lengths on either side that a length is compared with
+FLUSH = 200_000  # words or keys that a task keeps
 
 # Marks that systems put where they cut a text.
 CUT_MARK = re.compile(
     r"(?i)\s*(?:\(?\[?\(?\s*(?:message|text|content|output|body|comment|mail|log)?\s*(?:clipped|truncated|cut off|shortened|abgeschnitten|gekürzt|tronqué|truncado|recortado|已截断|截断)\s*\)?\]?|\[\s*(?:\.{2,}|…)\s*\]|<\s*(?:snip|truncated)\s*>|(?:read|show|view) more|\(continued\))\s*[.…]*$"
 )
+MARK_SIGN = re.compile(r"(?i)clipped|truncated|cut off|shortened|abgeschnitten|gekürzt|tronqué|truncado|recortado|截断|\[\s*(?:\.\.|…)|<\s*snip|more|continued")
 ELLIPSIS = re.compile(r"\s*(?:…|\.\.\.)$")
 ENDS = frozenset(".!?。！？")
 CLOSERS = "\"'”’»)]*_"
@@ -54,8 +59,30 @@ _STRINGS = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`]*`")
 _COMMENTS = re.compile(r"/\*.*?\*/|//[^\n]*|(?m:^[ \t]*#[^\n]*)", re.S)
 
 
+# The same tokens of a text in ASCII, with its shorter classes.
+_ASCII_TOKEN = re.compile(r"\n[\s\x1c-\x1f]*|[A-Za-z]\w*(?:-[A-Za-z]\w*)*|\d+|[^\w\s\x1c-\x1f]|_", re.A)
+
+
 def tokens(text: str) -> list[str]:
-    return _TOKEN.findall(text)
+    return (_ASCII_TOKEN if text.isascii() else _TOKEN).findall(text)
+
+
+def last_tokens(text: str) -> list[str]:
+    """At least the last LAST_TOKENS tokens of a text, each as tokens() finds it in the whole text."""
+    size = 160
+    while size < len(text):
+        tail = text[-size:]
+        blank = _BLANK.search(tail)
+        if blank:
+            found = tokens(tail[blank.end() :])
+            # The first one may be what is left of a line end.
+            if len(found) > LAST_TOKENS:
+                return found
+        size *= 4
+    return tokens(text)
+
+
+_BLANK = re.compile(r"\s")
 
 
 def mask(token: str) -> str:
@@ -78,10 +105,37 @@ def piece(token: str) -> str:
     return token
 
 
-def contexts(masked: list[str], at: int) -> tuple[str, str, str, str]:
-    """Keys of the last words up to ``at``: two, three, and two with one or two words between them and the end."""
-    a, b, c, d = (masked[at - k] if at >= k else "^" for k in (3, 2, 1, 0))
-    return f"A\x1f{c}\x1f{d}", f"B\x1f{b}\x1f{c}\x1f{d}", f"C\x1f{b}\x1f{c}", f"D\x1f{a}\x1f{b}"
+# -- keys: 64-bit hashes ------------------------------------------------------
+
+START = "^"  # stands before the first word of a text
+_ONE = np.uint64(1)
+_ODD = [np.uint64(int(xxhash.xxh64_intdigest(f"factor {i}")) | 1) for i in range(12)]
+
+
+def word_hash(word: str) -> int:
+    return xxhash.xxh64_intdigest(word)
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * _ODD[0]
+    return h ^ (h >> np.uint64(29))
+
+
+def pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return _mixed(a * _ODD[1] + b * _ODD[2])
+
+
+def context_key(kind: int, pair: np.ndarray) -> np.ndarray:
+    """Key of a pair of words as a context: kind 0 the last two, 1 with one word, 2 with two words between them and the end."""
+    return _mixed(pair * _ODD[3 + kind])
+
+
+def triple_key(a: np.ndarray, pair: np.ndarray) -> np.ndarray:
+    return _mixed(a * _ODD[6] + pair * _ODD[7])
+
+
+def near_key(before: np.ndarray, beginning: np.ndarray) -> np.ndarray:
+    return _mixed(before * _ODD[8] + beginning * _ODD[9])
 
 
 def structure(text: str) -> str:
@@ -120,81 +174,170 @@ def without_mark(text: str) -> str:
     """The text up to a mark of a cut, so that what stands before it counts as the end."""
     text = text.rstrip()
     tail = text[-MARK_CHARS:]
-    kept = ELLIPSIS.sub("", CUT_MARK.sub("", tail))
+    kept = ELLIPSIS.sub("", CUT_MARK.sub("", tail) if MARK_SIGN.search(tail) else tail)
     return text[: len(text) - len(tail) + len(kept)].rstrip()
 
 
-def first_look(text: str | None) -> tuple[str, list[str], str, str]:
-    """(state, context keys, last word, key of the last word after the one before).
-
-    state: 'empty', 'cut', 'whole' or 'open'.
-    """
+def first_look(text: str | None) -> tuple[str, list[str]]:
+    """(state, last tokens): 'empty', 'cut', 'whole' or 'open'; tokens only of an open text."""
     stripped = (text or "").rstrip()
     if not stripped.strip():
-        return "empty", [], "", ""
-    if CUT_MARK.search(stripped[-MARK_CHARS:]):
-        return "cut", [], "", ""
+        return "empty", []
+    tail = stripped[-MARK_CHARS:]
+    if MARK_SIGN.search(tail) and CUT_MARK.search(tail):
+        return "cut", []
     shape = structure(stripped)
     if shape != "unknown":
-        return shape, [], "", ""
-    plain = ELLIPSIS.sub("", stripped)
+        return shape, []
+    plain = ELLIPSIS.sub("", stripped) if stripped[-1] in ".…" else stripped
     dots = plain != stripped
     if dots and plain[-1:] in ENDS and len(plain) > 1:
-        return "cut", [], "", ""  # a mark behind a finished sentence
-    key_line = stripped[-1] == "." and not re.search(r"\s|[㐀-鿿]", stripped.split("\n")[-1])
+        return "cut", []  # a mark behind a finished sentence
+    key_line = stripped[-1] == "." and not re.search(r"\s|[㐀-鿿]", stripped[stripped.rfind("\n") + 1 :])
     if not dots and not key_line and (stripped[-1] in ENDS or stripped[-1] in CLOSERS and stripped.rstrip(CLOSERS)[-1:] in ENDS):
-        return "whole", [], "", ""
+        return "whole", []
     if stripped.endswith("```"):
-        return "whole", [], "", ""
-    words = tokens(plain[-2000:])
-    if not words:
-        return "whole", [], "", ""
-    masked = [mask(w) for w in words[-6:]]
-    at = len(masked) - 1
-    last, before = words[-1], masked[-2] if at else "^"
-    near = f"E\x1f{before}\x1f{last}" if last[0].isalpha() and len(last) <= PREFIX_CHARS else ""
-    return "open", list(contexts(masked, at)), piece(last) if last[0].isalpha() else "", near
+        return "whole", []
+    words = last_tokens(plain)
+    return ("open", words) if words else ("whole", [])
+
+
+# Keys of an open text: A to D its contexts, V its last piece as a word, T as a beginning, E its last word behind the one before.
+# L, P and N only tell the pass over the corpus which ends, words before and beginnings are looked for.
+KINDS = ("A", "B", "C", "D", "V", "T", "E", "L", "P", "N")
+_FIRST = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("chars", pa.int32()), ("state", pa.string()), ("keys", pa.list_(pa.int64()))])
+_FIRST_DDL = "doc_id bigint, source string, chars int, state string, keys array<bigint>"
 
 
-_FIRST = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("chars", pa.int32()), ("state", pa.string()), ("keys", pa.list_(pa.string())), ("last", pa.string()), ("near", pa.string())])
-_FIRST_DDL = "doc_id bigint, source string, chars int, state string, keys array<string>, last string, near string"
+def _kind_hash(kind: str, word: str) -> int:
+    return xxhash.xxh64_intdigest(kind + "\x1f" + word)
+
+
+def _end_keys(ends: list[list[str]]) -> list[list[int]]:
+    """The keys of each text by its last tokens, in the order of KINDS; 0 where a kind doesn't apply."""
+    place = np.array([[word_hash(mask(w)) for w in [START] * max(0, 4 - len(t)) + t[-4:]] for t in ends], dtype=np.uint64).reshape(len(ends), 4)
+    a, b, c, d = place.T
+    last = pair_hash(c, d)
+    rows = np.zeros((len(ends), len(KINDS)), dtype=np.uint64)
+    rows[:, 0], rows[:, 1] = context_key(0, last), triple_key(b, last)
+    rows[:, 2], rows[:, 3] = context_key(1, pair_hash(b, c)), context_key(2, pair_hash(a, b))
+    letters = np.array([t[-1][0].isalpha() for t in ends], dtype=bool)
+    beginning = np.array([word_hash(t[-1]) for t in ends], dtype=np.uint64)
+    rows[:, 6] = np.where(letters, near_key(c, beginning), 0)
+    for row, words in zip(rows, ends):
+        row[7] = _kind_hash("L", mask(words[-1]))
+        if words[-1][0].isalpha():
+            row[4], row[5] = _kind_hash("V", piece(words[-1])), _kind_hash("T", piece(words[-1]))
+            row[8], row[9] = _kind_hash("P", mask(words[-2]) if len(words) > 1 else START), _kind_hash("N", words[-1])
+    return rows.view(np.int64).tolist()
 
 
 def _first_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = batch.to_pydict()
-        out: dict[str, list] = {name: [] for name in _FIRST.names}
-        for doc_id, source, text in zip(rows["doc_id"], rows["source"], rows["text"]):
-            for name, value in zip(_FIRST.names, (doc_id, source, len(text or ""), *first_look(text))):
-                out[name].append(value)
+        looks = [first_look(text) for text in rows["text"]]
+        at = [i for i, look in enumerate(looks) if look[0] == "open"]
+        keys: list[list[int]] = [[]] * len(looks)
+        for i, row in zip(at, _end_keys([looks[i][1] for i in at]) if at else []):
+            keys[i] = row
+        out = {"doc_id": rows["doc_id"], "source": rows["source"], "chars": [len(t or "") for t in rows["text"]], "state": [s for s, _ in looks], "keys": keys}
         yield pa.RecordBatch.from_pydict(out, schema=_FIRST)
 
 
-def _bit(key: str) -> tuple[int, int]:
-    h = xxhash.xxh64_intdigest(key)
-    return h & (FILTER_WORDS - 1), (h >> 32) & 63
+def _filter_places(keys: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """The word of each key and the two bits that it sets there."""
+    word = (keys >> np.uint64(20)) % np.uint64(words)
+    return word, _ONE << (keys & np.uint64(63)) | _ONE << ((keys >> np.uint64(6)) & np.uint64(63))
 
 
-def _bit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        words: dict[int, int] = {}
-        for key in batch.column(0).to_pylist():
-            word, bit = _bit(key)
-            words[word] = words.get(word, 0) | 1 << bit
-        signed = [b - (1 << 64) if b >> 63 else b for b in words.values()]
-        yield pa.RecordBatch.from_pydict({"word": list(words), "bits": signed}, schema=pa.schema([("word", pa.int32()), ("bits", pa.int64())]))
+def _bit_rows(words: int):
+    schema = pa.schema([("word", pa.int32()), ("bits", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            word, bits = _filter_places(np.asarray(batch.column(0)).view(np.uint64), words)
+            order = np.argsort(word, kind="stable")
+            word, bits = word[order], bits[order]
+            first = np.flatnonzero(np.diff(word, prepend=np.uint64(2**63)))
+            merged = np.bitwise_or.reduceat(bits, first) if len(first) else bits
+            yield pa.RecordBatch.from_arrays([pa.array(word[first].astype(np.int32)), pa.array(merged.view(np.int64))], schema=schema)
+
+    return run
+
+
+def key_filter(keys: DataFrame, n_keys: int) -> np.ndarray:
+    """A Bloom filter of the keys (bigint), built by all tasks."""
+    size = int(min(MAX_FILTER_WORDS, max(1_024, n_keys * FILTER_BITS // 64)))
+    rows = keys.mapInArrow(_bit_rows(size), "word int, bits bigint").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    words = np.zeros(size, dtype=np.int64)
+    words[rows.column("word").to_numpy()] = rows.column("bits").to_numpy()
+    return words.view(np.uint64)
+
+
+class _Known(dict):
+    """Whether the filter holds the hash of a string, by string."""
 
+    def __init__(self, kind: str, words: np.ndarray):
+        self.prefix, self.words, self.size = kind + "\x1f", words, len(words)
 
-def key_filter(keys: DataFrame) -> list[int]:
-    """A Bloom filter of the keys with FILTER_WORDS words, built by all tasks."""
-    rows = keys.mapInArrow(_bit_rows, "word int, bits bigint").groupBy("word").agg(F.bit_or("bits").alias("bits")).collect()
-    words = [0] * FILTER_WORDS
-    for row in rows:
-        words[row["word"]] = row["bits"] & ((1 << 64) - 1)
-    return words
+    def __missing__(self, word: str) -> int:
+        h = xxhash.xxh64_intdigest(self.prefix + word)
+        bits = int(self.words[(h >> 20) % self.size])
+        hit = self[word] = h if bits >> (h & 63) & 1 and bits >> (h >> 6 & 63) & 1 else 0
+        return hit
 
 
-_COUNTS = pa.schema([("key", pa.string()), ("ends", pa.int64()), ("goes_on", pa.int64()), ("finals", pa.int64())])
+_COUNTS = pa.schema([("key", pa.int64()), ("ends", pa.int64()), ("goes_on", pa.int64()), ("finals", pa.int64())])
+FINAL, CLOSED, GOES = 0, 1, 2
+_CAMEL_PIECE = re.compile(r"[A-Z][a-z0-9]*")
+
+
+def known_entries(word: str) -> set[str]:
+    """What a last piece may be unfinished against, when ``word`` stands in the corpus.
+
+    These are the trie's inner nodes: every proper beginning of the word's last
+    piece and of the parts of a name, for parts with and without the sign of
+    camel case, since a name may be cut inside its first part. The last part of
+    a name that is known only inside names is unfinished as well.
+    """
+    entries = [piece(word)]
+    if _CAMEL.match(word):
+        sign = "^" if word[0].isupper() else "~"
+        entries += [sign + part for part in _CAMEL_PIECE.findall(word)[:-1]]
+    out: set[str] = set()
+    for entry in entries:
+        out.update(entry[:k] for k in range(1, len(entry)))
+        if entry[0] in "^~":
+            out.add(entry)
+            out.update(entry[1:k] for k in range(2, len(entry) + 1))
+    return out
+
+
+class _Words(dict):
+    """Numbers of the words of a task, with what depends on the word alone."""
+
+    def __init__(self, words: np.ndarray):
+        self.filter = words
+        self.ends, self.befores, self.vocabulary, self.begins, self.near = (_Known(k, words) for k in "LPVTN")
+        self.words: list[str] = []
+        self.hashes: list[int] = []
+        self.flags: list[int] = []  # bits: 1 ends a context, 2 asked before a last word, 4 has a wanted beginning, 8 closes, 16 ';', 32 line end
+        self[START_SIGN]  # noqa: B018 - number 0
+
+    def __missing__(self, word: str) -> int:
+        masked = START if word == START_SIGN else mask(word)
+        number = self[word] = len(self.words)
+        self.words.append(word)
+        self.hashes.append(word_hash(masked))
+        flag = (1 if self.ends[masked] else 0) | (2 if self.befores[masked] else 0)
+        if word[0].isalpha() and any(self.near[word[:k]] for k in range(1, len(word))):
+            flag |= 4
+        flag |= (8 if masked == "\n" or masked in ENDS else 0) | (16 if masked == ";" else 0) | (32 if masked == "\n" else 0)
+        self.flags.append(flag)
+        return number
+
+
+START_SIGN = "\x00start"
 
 
 def count_places(shared):
@@ -202,109 +345,123 @@ def count_places(shared):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words_of = shared.value
-        known: dict[str, bool] = {}
-        # What depends on a word alone is worked out once: mask, vocabulary key, beginnings, whether it ends a context.
-        facts: dict[str, tuple] = {}
-        ends: Counter = Counter()
-        goes: Counter = Counter()
-        finals: Counter = Counter()
-
-        def wanted(key: str) -> bool:
-            hit = known.get(key)
-            if hit is None:
-                h = xxhash.xxh64_intdigest(key)
-                hit = known[key] = bool(words_of[h & (FILTER_WORDS - 1)] >> ((h >> 32) & 63) & 1)
-            return hit
-
-        def fact(word: str) -> tuple:
-            masked = mask(word)
-            letters = word[0].isalpha()
-            vocabulary = "V\x1f" + piece(word) if letters else ""
-            starts = [word[:k] for k in range(1, min(PREFIX_CHARS, len(word) - 1) + 1)] if letters else []
-            out = facts[word] = (masked, vocabulary if vocabulary and wanted(vocabulary) else "", starts, wanted("L\x1f" + masked), wanted("P\x1f" + masked), masked == "\n" or masked in ENDS)
-            return out
-
-        def flush():
-            keys = list(ends.keys() | goes.keys() | finals.keys())
-            out = {"key": keys, "ends": [ends[k] for k in keys], "goes_on": [goes[k] for k in keys], "finals": [finals[k] for k in keys]}
-            for c in (ends, goes, finals, known, facts):
-                c.clear()
-            return pa.RecordBatch.from_pydict(out, schema=_COUNTS)
-
-        start_before = wanted("P\x1f^")
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
+        size = np.uint64(len(words_of))
+        known = _Words(words_of)
+        seen = np.zeros(0, dtype=np.int64)  # places of each word that aren't the end of a text
+        found: list[tuple[np.ndarray, np.ndarray]] = []  # (keys, what follows there)
+
+        def held(keys: np.ndarray) -> np.ndarray:
+            bits = words_of[(keys >> np.uint64(20)) % size]
+            return ((bits >> (keys & np.uint64(63))) & (bits >> ((keys >> np.uint64(6)) & np.uint64(63))) & _ONE).astype(bool)
+
+        def places(texts: list[str]) -> None:
+            nonlocal seen
+            ids: list[int] = []
+            lasts: list[int] = []
+            for text in texts:
                 words = tokens(without_mark(text))
-                if not words:
+                if words:
+                    ids += (0, 0, 0)
+                    ids += [known[w] for w in words]
+                    lasts.append(len(ids) - 1)
+            if not lasts:
+                return
+            n = np.array(ids, dtype=np.int64)
+            flags, hashes = np.array(known.flags, dtype=np.int8)[n], np.array(known.hashes, dtype=np.uint64)[n]
+            last = np.zeros(len(n) + 2, dtype=bool)
+            last[lasts] = True
+            follow = np.append(flags, [0, 0])
+            after = follow[1:-1]
+            closes = (after & 8 > 0) | (after & 16 > 0) & (last[1:-1] | (follow[2:] & 32 > 0))
+            last = last[:-2]
+            kind = np.where(last, FINAL, np.where(closes, CLOSED, GOES)).astype(np.int8)
+            real = np.flatnonzero(n)
+            pair = pair_hash(np.roll(hashes, 1), hashes)
+            ending = real[flags[real] & 1 > 0]
+            for at, keys in (
+                (ending, context_key(0, pair[ending])),
+                (ending, triple_key(hashes[ending - 2], pair[ending])),
+                (real, context_key(1, pair[real - 1])),
+                (real, context_key(2, pair[real - 2])),
+            ):
+                hit = held(keys)
+                found.append((keys[hit], kind[at[hit]]))
+            inner = n[real[~last[real]]]
+            counted = np.bincount(inner, minlength=len(known.words))
+            counted[: len(seen)] += seen
+            seen = counted
+            begun = real[(flags[real] & 4 > 0) & (flags[real - 1] & 2 > 0)]
+            codes, times = np.unique(n[begun - 1] * len(known.words) + n[begun], return_counts=True)
+            longer, before, many = [], [], []
+            for code, count in zip(codes.tolist(), times.tolist()):
+                first, second = divmod(code, len(known.words))
+                word = known.words[second]
+                for k in range(1, len(word)):
+                    if known.near[word[:k]]:
+                        longer.append(word_hash(word[:k]))
+                        before.append(known.hashes[first])
+                        many.append(count)
+            if longer:
+                keys = near_key(np.array(before, dtype=np.uint64), np.array(longer, dtype=np.uint64))
+                hit = held(keys)
+                found.append((np.repeat(keys[hit], np.array(many)[hit]), np.full(int(np.array(many)[hit].sum()), GOES, dtype=np.int8)))
+
+        def flush() -> pa.RecordBatch:
+            nonlocal seen, known
+            keys = np.concatenate([k for k, _ in found]) if found else np.zeros(0, dtype=np.uint64)
+            kinds = np.concatenate([k for _, k in found]) if found else np.zeros(0, dtype=np.int8)
+            unique, where = np.unique(keys, return_inverse=True)
+            counts = [np.bincount(where, weights=kinds == what, minlength=len(unique)).astype(np.int64) for what in (CLOSED, GOES, FINAL)]
+            extra: dict[int, int] = {}
+            for number in np.flatnonzero(seen).tolist():
+                word = known.words[number]
+                if not word[0].isalpha():
                     continue
-                row = [facts.get(w) or fact(w) for w in words]
-                size = len(row)
-                before, asked = "^", start_before
-                second, pair, older = "^", "^\x1f^", "^\x1f^"  # the word two back, the last two words, the two before the last
-                for at, (here, vocabulary, starts, closes, opens, _) in enumerate(row):
-                    if at + 1 == size:
-                        into = finals
-                    else:
-                        following = row[at + 1]
-                        closed = following[5] or following[0] == ";" and (at + 2 == size or row[at + 2][0] == "\n")
-                        into = ends if closed else goes
-                    if vocabulary and into is not finals:
-                        goes[vocabulary] += 1
-                    if asked and starts:
-                        for beginning in starts:
-                            key = f"E\x1f{before}\x1f{beginning}"
-                            if wanted(key):
-                                goes[key] += 1
-                    now = before + "\x1f" + here
-                    if closes:
-                        key = "A\x1f" + now
-                        if wanted(key):
-                            into[key] += 1
-                        key = "B\x1f" + second + "\x1f" + now
-                        if wanted(key):
-                            into[key] += 1
-                    key = "C\x1f" + pair
-                    if wanted(key):
-                        into[key] += 1
-                    key = "D\x1f" + older
-                    if wanted(key):
-                        into[key] += 1
-                    older, pair, second, before, asked = pair, now, before, here, opens
-                if len(known) > FLUSH or len(facts) > FLUSH:
-                    yield flush()
+                key = known.vocabulary[piece(word)]
+                if key:
+                    extra[key] = extra.get(key, 0) + int(seen[number])
+                for entry in known_entries(word):
+                    key = known.begins[entry]
+                    if key:
+                        extra[key] = extra.get(key, 0) + 1
+            more = np.array(list(extra), dtype=np.uint64)
+            unique = np.concatenate([unique, more]).view(np.int64)
+            none = np.zeros(len(more), dtype=np.int64)
+            columns = [unique, np.concatenate([counts[0], none]), np.concatenate([counts[1], np.array(list(extra.values()), dtype=np.int64)]), np.concatenate([counts[2], none])]
+            found.clear()
+            seen = np.zeros(0, dtype=np.int64)
+            if len(known.words) > FLUSH:
+                known = _Words(words_of)
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=_COUNTS)
+
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            # Long texts are taken a few at a time, so that the arrays stay small.
+            start, chars = 0, 0
+            for at, text in enumerate(texts, 1):
+                chars += len(text)
+                if chars > 4_000_000 or at == len(texts):
+                    places(texts[start:at])
+                    start, chars = at, 0
+            if len(known.words) > FLUSH or sum(len(k) for k, _ in found) > 4 * FLUSH:
+                yield flush()
         yield flush()
 
     return run
 
 
-def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("word", pa.string())])
-    seen: set[str] = set()
-    for batch in batches:
-        fresh: set[str] = set()
-        for text in batch.column(0).to_pylist():
-            words = tokens(without_mark(text))[:-1]
-            for word in set(words):
-                if word[0].isalpha():
-                    fresh.add(piece(word))
-                    if _CAMEL.match(word):
-                        mark = "^" if word[0].isupper() else "~"
-                        fresh.update(mark + p for p in re.findall(r"[A-Z][a-z0-9]*", word)[:-1])
-        fresh -= seen
-        seen = seen | fresh if len(seen) < FLUSH else fresh
-        yield pa.RecordBatch.from_pydict({"word": list(fresh)}, schema=schema)
-
-
 def source_name(column: str = "source"):
     """Sources are written in different case and with blanks around."""
     return F.lower(F.trim(F.col(column)))
 
 
 def length_limits(looked: DataFrame) -> DataFrame:
-    """(source, chars) of lengths at which far more texts of a source lie than around them."""
+    """(source, chars) of lengths at which far more texts of a source lie than at the lengths around them."""
     per = looked.where("state != 'empty'").groupBy("source", "chars").agg(F.count("*").alias("n"))
-    around = Window.partitionBy("source").orderBy("chars").rangeBetween(-12, 12)
-    near = per.select("source", "chars", "n", ((F.sum("n").over(around) - F.col("n")) / 24).alias("usual"))
+    around = per.select("source", F.explode(F.sequence(F.col("chars") - NEAR, F.col("chars") + NEAR)).alias("chars"), "n").groupBy("source", "chars").agg(F.sum("n").alias("near"))
+    same = [F.col("p.source").eqNullSafe(F.col("a.source")), F.col("p.chars") == F.col("a.chars")]
+    usual = (F.col("near") - F.col("n")) / (2 * NEAR)
+    near = per.alias("p").join(around.alias("a"), same).select("p.source", "p.chars", "n", usual.alias("usual"))
     return near.where("chars >= 40 and n >= 4 and n >= 6 * usual").select("source", "chars")
 
 
@@ -313,55 +470,34 @@ def truncated(documents: DataFrame) -> DataFrame:
 
     Null, '' and blank texts are left out, so are null doc_ids; repeated texts
     are judged alike, and counted once in the corpus; a null source is a source
-    of its own; an empty table gives no rows. Texts are read whole.
+    of its own; an empty table gives no rows. Every text is read whole for the
+    counts; a mark of a cut is looked for where it ends.
     """
     scratch = Scratch(documents.sparkSession)
     docs = documents.where("doc_id is not null").select("doc_id", source_name().alias("source"), "text")
-    looked = scratch.write(docs.mapInArrow(_first_batches, _FIRST_DDL))
-    opened = looked.where("state = 'open'")
-    with_keys = scratch.write(
-        opened.select(
-            "doc_id",
-            "last",
-            "near",
-            F.array_compact(
-                F.concat("keys", F.array(F.when(F.col("near") != "", F.col("near")), F.when(F.col("last") != "", F.concat(F.lit("V\x1f"), "last"))))
-            ).alias("keys"),
-        )
-    )
-    closing = opened.select(F.concat(F.lit("L\x1f"), F.element_at(F.split(F.col("keys")[0], "\x1f"), -1)).alias("key"))
-    befores = opened.where("near != ''").select(F.concat(F.lit("P\x1f"), F.split("near", "\x1f")[1]).alias("key"))
-    wanted = with_keys.select(F.explode("keys").alias("key")).unionByName(befores).unionByName(closing).distinct()
-    shared = documents.sparkSession.sparkContext.broadcast(key_filter(wanted))
-    texts = documents.where("text is not null").groupBy(F.xxhash64("text").alias("h"), "text").agg(F.lit(1)).select("text")
-    counted = texts.mapInArrow(count_places(shared), "key string, ends bigint, goes_on bigint, finals bigint")
+    looked, sizes = scratch.counted(docs.mapInArrow(_first_batches, _FIRST_DDL), open=F.count_if(F.col("state") == "open"))
+    opened = looked.where("state = 'open'").select("doc_id", "keys")
+    wanted = opened.select(F.explode(F.array_distinct("keys")).alias("key")).where("key != 0")
+    shared = documents.sparkSession.sparkContext.broadcast(key_filter(wanted, sizes["open"] * len(KINDS)))
+    texts = documents.where("text is not null and text != ''").select("text").distinct()
+    counted = texts.mapInArrow(count_places(shared), "key bigint, ends bigint, goes_on bigint, finals bigint")
     counts = counted.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("ends", "goes_on", "finals")])
-    vocabulary = texts.mapInArrow(_vocabulary, "word string").distinct()
-    # The trie's inner nodes: every proper prefix of a known word. A mark of camel case counts as a letter of it.
-    # A name may be cut inside its first part, where it isn't in camel case yet: its parts are entered without the mark too.
-    begun = "transform(sequence(1, greatest(length(word) - 1, 1)), i -> substr(word, 1, i))"
-    unmarked = "if(word rlike '^[\\\\^~]', transform(sequence(1, greatest(length(word) - 1, 1)), i -> substr(word, 2, i)), array())"
-    prefixes = vocabulary.select(F.explode(F.expr(f"concat({begun}, {unmarked})")).alias("prefix")).distinct()
-    begins = with_keys.where("last != ''").select("last").distinct().join(prefixes.withColumnRenamed("prefix", "last"), "last", "left_semi")
-    # The last part of a name that is known only inside names is unfinished as well.
-    inside = with_keys.where("substr(last, 1, 1) in ('^', '~')").select("last").distinct().join(vocabulary.withColumnRenamed("word", "last"), "last", "left_semi")
-    unfinished = begins.unionByName(inside).distinct().withColumn("unfinished", F.lit(True))
-
-    evidence = (
-        with_keys.select("doc_id", F.explode("keys").alias("key"))
-        .join(counts, "key", "left")
-        .select(
-            "doc_id",
-            F.substr("key", F.lit(1), F.lit(1)).alias("kind"),
-            F.coalesce("ends", F.lit(0)).alias("ends"),
-            F.coalesce("goes_on", F.lit(0)).alias("goes_on"),
-            F.greatest(F.coalesce("finals", F.lit(0)) - 1, F.lit(0)).alias("finals"),
-        )
+    judging = len(KINDS) - 3
+    asked = opened.select("doc_id", F.posexplode(F.slice("keys", 1, judging)).alias("at", "key")).where("key != 0")
+
+    kinds = F.element_at(F.array(*[F.lit(k) for k in KINDS]), F.col("at") + 1)
+    evidence = asked.join(counts, "key", "left").select(
+        "doc_id",
+        kinds.alias("kind"),
+        F.coalesce("ends", F.lit(0)).alias("ends"),
+        F.coalesce("goes_on", F.lit(0)).alias("goes_on"),
+        F.greatest(F.coalesce("finals", F.lit(0)) - 1, F.lit(0)).alias("finals"),
     )
     rate = (F.col("ends") + F.col("finals")) / (F.col("ends") + F.col("finals") + F.col("goes_on"))
     in_context = F.col("kind").isin("A", "B", "C", "D") & (F.col("ends") + F.col("finals") + F.col("goes_on") >= SUPPORT)
     summed = evidence.groupBy("doc_id").agg(
         F.sum(F.when(F.col("kind") == "V", F.col("goes_on"))).alias("word_seen"),
+        F.max(F.when(F.col("kind") == "T", F.col("goes_on") > 0)).alias("unfinished"),
         F.sum(F.when(F.col("kind") == "A", F.col("ends") + F.col("goes_on"))).alias("pair_seen"),
         F.sum(F.when(F.col("kind") == "A", F.col("finals"))).alias("pair_finals"),
         F.sum(F.when(F.col("kind") == "E", F.col("goes_on"))).alias("longer_seen"),
@@ -374,9 +510,8 @@ def truncated(documents: DataFrame) -> DataFrame:
     judged = (
         looked.where("state != 'empty'").alias("o")
         .join(limits.alias("l"), same, "left")
-        .select("o.*", F.coalesce("l.at_limit", F.lit(False)).alias("at_limit"))
+        .select("o.doc_id", "o.source", "o.chars", "o.state", F.coalesce("l.at_limit", F.lit(False)).alias("at_limit"))
         .join(summed, "doc_id", "left")
-        .join(unfinished, "last", "left")
     )
     # Ends that are few against longer words at the same place are other cuts, no habit.
     few = F.coalesce("pair_finals", F.lit(0)) <= LONGER_SHARE * F.coalesce("longer_seen", F.lit(0))

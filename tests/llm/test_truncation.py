@@ -49,3 +49,23 @@ def test_limits(spark):
 
 def test_empty(spark):
     assert truncation.truncated(spark.createDataFrame([], "doc_id bigint, source string, text string")).count() == 0
+
+
+def test_last_words_of_any_length_are_whole():
+    word = "a" * 2500
+    assert truncation.first_look("see " + word)[1][-1] == word
+    assert truncation.first_look("一" * 3000)[1][-4:] == ["一"] * 4
+    text = "Amounts are rounded half up\n   \n before " + "x " * 300 + "the end-of line"
+    assert truncation.last_tokens(text)[-6:] == truncation.tokens(text)[-6:]
+
+
+@pytest.mark.parametrize("text", ["One two-three 4a b_c \n  \n d.", "x;\ny = f(1)\x1c\x1f_ end", "a-1 b--c 12ab"])
+def test_shorter_classes_give_the_same_tokens(text):
+    assert truncation._ASCII_TOKEN.findall(text) == truncation._TOKEN.findall(text)
+
+
+def test_a_long_word_cut_within_is_unfinished(spark):
+    long = "Amortisationstabellenberechnungsdienst" * 60
+    rows = [(i, "a", f"The {long} is called before number {i}.") for i in range(30)] + [(99, "a", "The " + long[:2000])]
+    got = {r.doc_id: r.state for r in truncation.truncated(spark.createDataFrame(rows, "doc_id bigint, source string, text string")).collect()}
+    assert [k for k, v in got.items() if v == "cut"] == [99]

@@ -26,7 +26,8 @@ def test_profile(spark):
 def test_large_key_is_split_and_load_is_even(spark):
     df, _ = edges(spark, hot=6000)
     plan = skew.LoadPlan(df.select("source", "target"), ["target"], 6)
-    assert len([p for p in plan.plan if p[0] == ("hot",)]) > 3
+    hot = spark.createDataFrame([("hot",)], "target string").select(skew.key_hash(["target"])).first()[0]
+    assert len([p for p in plan.plan if p[0] == (hot,)]) > 3
     placed = plan.fragment(df.select("source", "target"), ["source"])
     from pyspark.sql import functions as F
 
@@ -51,3 +52,9 @@ def test_empty(spark):
     df, _ = edges(spark)
     assert skew.edge_profile(df.where("false"), tasks=4).count() == 0
     assert skew.dominant_keys(skew.edge_profile(df.where("false"), tasks=4)).count() == 0
+
+
+def test_one_edge_repeated_is_combined_before_it_moves(spark):
+    rows = [("s", "hot", "calls", None, i, "x") for i in range(4000)] + [(f"s{i}", "t", "calls", None, i, "x") for i in range(50)]
+    df = spark.createDataFrame(rows, "source string, target string, kind string, created_at timestamp_ntz, seq bigint, n string")
+    assert {(r.target, r.n_edges) for r in skew.edge_profile(df, tasks=6).collect()} == {("hot", 1), ("t", 50)}

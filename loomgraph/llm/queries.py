@@ -25,7 +25,7 @@ def p1_from_files(spark, folder):
 
 def p4_provenance(spark, folder):
     return provenance.provenance(
-        table(spark, folder, "files", "path", "indexed_at", "content_hash", "content"), table(spark, folder, "nodes", "file_path")
+        table(spark, folder, "files", "path", "indexed_at", "content_hash", "content"), table(spark, folder, "nodes", "file_path"), table(spark, folder, "modules", "root_path")
     )
 
 

@@ -1,8 +1,9 @@
 """Documents drawn so that every source makes up its target share of all tokens.
 
 1. Membership: a document with a source belongs to it; one without gets the
-   posterior of a classifier that was fitted on the labelled rows (naive Bayes
-   over hashed tokens, counted over all of them).
+   posterior of a classifier that was fitted on labelled rows (naive Bayes over
+   hashed tokens). Labels without a target are a class of their own, so a
+   document that resembles no target is drawn for none.
 2. Rates: nonnegative rates of use, at most max_repeats, whose expected tokens
    per source match the targets, by projected gradient steps on least squares.
    Documents with equal membership share a rate, so a step is one aggregate
@@ -30,6 +31,9 @@ EVIDENCE_TOKENS = 60  # long texts count as this many independent tokens
 GRID = 20  # posteriors are rounded to 1 / GRID, so that equal ones share a rate
 STEPS = 60
 TOLERANCE = 1e-7
+GROUPS_AT_ONCE = 50_000  # groups of equal membership that are solved in the driver; more are solved where they are
+FIT_ROWS = 20_000  # labelled rows, about, that the classifier is fitted on
+HIDDEN = 5  # one of so many labels, by a hash of the document, is hidden when the classifier is measured
 FILL_ROUNDS = 3
 MAX_SOURCES = 1_000
 
@@ -74,16 +78,18 @@ class SourceClassifier:
 
     @classmethod
     def fit(cls, documents: DataFrame, labels: list[str], tokenizer: str = TOKENIZER) -> SourceClassifier:
-        """From (source, text) of all labelled rows; labels without a target form one class, ''."""
-        known = documents.where("source is not null and source != '' and text is not null and text != ''").select("source", "text")
+        """From (doc_id, source, text): about FIT_ROWS labelled rows, chosen by a hash; labels without a target form one class, ''."""
+        known = documents.where("source is not null and source != '' and text is not null and text != ''")
+        every = max(1, -(-known.count() // FIT_ROWS))
+        known = known.where(F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(every)) == 0).select("source", "text")
         parts = known.mapInArrow(_class_counts(labels, tokenizer), "label string, docs bigint, counts array<bigint>")
-        summed = parts.select("label", "docs", F.posexplode("counts").alias("at", "n")).groupBy("label", "at").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")).where("n > 0 or at = 0").collect()
+        cells = parts.select("label", "docs", F.posexplode("counts").alias("at", "n")).groupBy("label", "at").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+        # One row for each label, with one number for each feature.
+        rows = cells.groupBy("label").agg(F.max("docs").alias("docs"), F.transform(F.array_sort(F.collect_list(F.struct("at", "n"))), lambda c: c["n"]).alias("counts")).toArrow().to_pylist()
         places = {label: i for i, label in enumerate([*labels, ""])}
         docs, counts = np.zeros(len(places)), np.zeros((len(places), FEATURES))
-        for row in summed:
-            counts[places[row["label"]], row["at"]] = row["n"]
-            if row["at"] == 0:
-                docs[places[row["label"]]] = row["docs"]
+        for row in rows:
+            docs[places[row["label"]]], counts[places[row["label"]]] = row["docs"], row["counts"]
         return cls([*labels, ""], docs, counts)
 
     def posterior(self, ids: list[int]) -> np.ndarray:
@@ -93,6 +99,11 @@ class SourceClassifier:
         p = np.exp(score - score.max())
         return p / p.sum()
 
+    def member(self, ids: list[int]) -> list[float]:
+        """The posterior on a grid, so that equal ones share a rate, still with the sum 1 over all classes."""
+        p = np.round(self.posterior(ids) * GRID)
+        return (p / p.sum()).tolist() if p.sum() else self.posterior(ids).tolist()
+
 
 _MEMBERS = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("tokens", pa.int64()), ("member", pa.list_(pa.float64()))])
 
@@ -110,7 +121,7 @@ def _memberships(labels: list[str], model: SourceClassifier | None, path: str):
                 if source in places:
                     member[places[source]] = 1.0
                 elif not source and ids and model is not None:
-                    member = (np.round(model.posterior(ids)[: len(labels)] * GRID) / GRID).tolist()
+                    member = model.member(ids)[: len(labels)]
                 sizes.append(len(ids))
                 members.append(member)
             yield pa.RecordBatch.from_pydict({"doc_id": rows["doc_id"], "source": rows["source"], "tokens": sizes, "member": members}, schema=_MEMBERS)
@@ -166,12 +177,23 @@ def fit_rates(groups: DataFrame, weights: np.ndarray, caps: list[int]) -> tuple[
     target = share * total
     steps: list[np.ndarray] = []
     reached = np.zeros(len(caps))
+    local = None
+    if groups.count() <= GROUPS_AT_ONCE:
+        rows = groups.select("member", "tokens").toArrow()
+        member = np.array(rows.column("member").to_pylist(), dtype=float).reshape(-1, len(caps))
+        limit = member @ np.array(caps, dtype=float) / np.maximum(member.sum(axis=1), 1e-9)
+        local = (member, limit, np.array(rows.column("tokens").to_pylist(), dtype=float), np.zeros(len(member)))
     for _ in range(STEPS):
         residual = np.where(able, reached - target, 0.0)
         if np.abs(residual).sum() <= TOLERANCE * max(1.0, total):
             break
         # Scaled by each source's tokens, so that a full step solves the case of documents with one source.
         steps.append(np.where(able, residual / np.maximum(stock, 1.0), 0.0))
+        if local:
+            member, limit, tokens, rate = local
+            rate[:] = np.clip(rate - member @ steps[-1], 0.0, limit)
+            reached = (rate * tokens) @ member
+            continue
         rows = groups.mapInArrow(_expected(caps, steps), "at int, tokens double").groupBy("at").agg(F.sum("tokens").alias("t")).collect()
         for row in rows:
             reached[row["at"]] = row["t"]
@@ -229,10 +251,12 @@ def mix(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER) ->
     """(doc_id, source, domain, tokens, rate, uses) of every document; uses is 0 where it isn't drawn.
 
     ``domain`` is the target source that the document counts for: its own one,
-    or for a document without a source its likeliest one. Sources are compared
-    in lower case without blanks around; null and '' mean no source; documents
-    of a source without a target, and null or '' texts, are not drawn; a null
-    doc_id is left out. A target without documents is reported with share 0.
+    or for a document without a source its likeliest one; it is null for one
+    that resembles none. Sources are compared in lower case without blanks
+    around; null and '' mean no source; documents of a source without a target,
+    and null or '' texts, are not drawn, since they would make up a share that
+    no target gives them; a null doc_id is left out. A target without documents
+    is reported with share 0.
     """
     scratch = Scratch(documents.sparkSession)
     settings = target_settings(targets)
@@ -247,6 +271,47 @@ def mix(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER) ->
     return draw(scratch.write(rated), scratch).select("doc_id", "source", F.col("queue").alias("domain"), "tokens", F.round("rate", 9).alias("rate"), "uses")
 
 
+_HELD = pa.schema([("source", pa.string()), ("tokens", pa.int64()), ("right", pa.int32()), ("own", pa.float64()), ("member", pa.list_(pa.float64()))])
+
+
+def _measured(labels: list[str], model: SourceClassifier, path: str):
+    places = {label: i for i, label in enumerate([*labels, ""])}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: dict[str, list] = {name: [] for name in _HELD.names}
+            for source, text in zip(batch.column("source").to_pylist(), batch.column("text").to_pylist()):
+                ids = encode(text, path)
+                p, true = model.posterior(ids), places.get(source, len(labels))
+                for name, value in zip(_HELD.names, (source if source in places else "", len(ids), int(p.argmax() == true), float(p[true]), model.member(ids))):
+                    out[name].append(value)
+            yield pa.RecordBatch.from_pydict(out, schema=_HELD)
+
+    return run
+
+
+def membership_report(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
+    """(source, n_hidden, accuracy, mean_posterior, true_share, soft_share): how well soft memberships stand for labels.
+
+    The labels of one document in HIDDEN are hidden, the classifier is fitted on
+    the others and judges them. ``soft_share`` is the share of tokens that the
+    memberships give to the source. Labels without a target are the source ''.
+    """
+    labels = [s for s, _, _ in target_settings(targets)]
+    docs = documents.where("doc_id is not null and text is not null and text != ''").select("doc_id", F.lower(F.trim("source")).alias("source"), "text").where("source is not null and source != ''")
+    hidden = F.pmod(F.xxhash64("doc_id", F.lit("hidden")), F.lit(HIDDEN)) == 0
+    model = SourceClassifier.fit(docs.where(~hidden), labels, tokenizer)
+    judged = Scratch(documents.sparkSession).write(docs.where(hidden).select("source", "text").mapInArrow(_measured(labels, model, tokenizer), "source string, tokens bigint, right int, own double, member array<double>"))
+    classes = F.array(*[F.lit(label) for label in (*labels, "")])
+    soft = judged.select("tokens", F.posexplode("member").alias("at", "m")).groupBy(F.element_at(classes, F.col("at") + 1).alias("source")).agg(F.sum(F.col("m") * F.col("tokens")).alias("soft"))
+    per = judged.groupBy("source").agg(F.count("*").alias("n_hidden"), F.avg("right").alias("accuracy"), F.avg("own").alias("posterior"), F.sum("tokens").alias("tokens"))
+    total = float(judged.agg(F.sum("tokens")).first()[0] or 1)
+    return soft.join(per, "source", "left").select(
+        "source", F.coalesce("n_hidden", F.lit(0)).alias("n_hidden"), F.round("accuracy", 6).alias("accuracy"), F.round("posterior", 6).alias("mean_posterior"),
+        F.round(F.coalesce("tokens", F.lit(0)) / total, 6).alias("true_share"), F.round(F.col("soft") / total, 6).alias("soft_share"),
+    )
+
+
 def share_report(mixed: DataFrame, targets: DataFrame) -> DataFrame:
     """Per target source: weight, actual share of the drawn tokens, documents, uses and the highest number of uses."""
     per = mixed.where("domain is not null").groupBy("domain").agg(

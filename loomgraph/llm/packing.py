@@ -57,7 +57,9 @@ def pack(counts: DataFrame, capacities: DataFrame, shares: DataFrame | None = No
 
     ``counts`` is (doc_id, source, tokens); ``shares`` (source, share) are the
     target proportions of every window, by default those of all tokens, so that
-    all queues end together. A document larger than a container is cut into
+    all queues end together. Sources that ``shares`` doesn't name keep their
+    natural share, and the named ones divide the rest; a queue that ends early
+    leaves its room in later windows to the others. A document larger than a container is cut into
     full containers and a rest, which is packed like a document; no other is
     split. Documents without tokens (null or '') get a null container; a
     capacity that is null or below 1 gives its documents null containers too.
@@ -71,8 +73,11 @@ def pack(counts: DataFrame, capacities: DataFrame, shares: DataFrame | None = No
     if shares is None:
         shares = natural
     else:
-        named = shares.select(F.lower(F.trim("source")).alias("source"), "share").where("share > 0")
-        shares = named.unionByName(natural.join(named, "source", "left_anti"))
+        named = shares.select(F.lower(F.trim("source")).alias("source"), "share").where("share > 0").groupBy("source").agg(F.sum("share").alias("share")).join(natural.select("source"), "source", "left_semi")
+        others = natural.join(named, "source", "left_anti")
+        weights = float(named.agg(F.sum("share")).first()[0] or 1)
+        room = 1 - float(others.agg(F.sum("share")).first()[0] or 0)
+        shares = named.withColumn("share", F.col("share") / weights * room).unionByName(others)
     settings = profile_settings(capacities)
     usable, unusable = [s for s in settings if (s[1] or 0) >= 1], [s for s in settings if (s[1] or 0) < 1]
     sized = for_each_profile(counts.where("tokens > 0"), usable).withColumn("n_pieces", F.ceil(F.col("tokens") / F.col("capacity_tokens")).cast("int"))
@@ -113,9 +118,9 @@ def for_each_profile(df: DataFrame, settings: list[tuple[str, int | None]]) -> D
     return df.select("*", F.explode(each).alias("_p")).select("*", "_p.profile", "_p.capacity_tokens").drop("_p")
 
 
-def pack_documents(documents: DataFrame, capacities: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
+def pack_documents(documents: DataFrame, capacities: DataFrame, shares: DataFrame | None = None, tokenizer: str = TOKENIZER) -> DataFrame:
     counts = Scratch(documents.sparkSession).write(token_counts(documents, tokenizer))
-    return pack(counts, capacities)
+    return pack(counts, capacities, shares)
 
 
 def fill_report(packed: DataFrame, capacities: DataFrame) -> DataFrame:
@@ -142,3 +147,22 @@ def mixture_report(packed: DataFrame) -> DataFrame:
     return joined.groupBy("profile", "source").agg(
         F.round(F.first(share), 6).alias("share"), F.round(F.sum(F.abs(F.col("t") / F.col("w") - share) * F.col("w")) / F.sum("w"), 6).alias("mean_deviation"), F.count("*").alias("n_windows")
     )
+
+
+def target_report(packed: DataFrame) -> DataFrame:
+    """(profile, source, share, mean_deviation, max_deviation, n_windows) while no queue of the profile has ended.
+
+    ``share`` is the source's share of the tokens of these windows, the
+    deviations are those of single windows from it. The first window of a
+    profile is left out, since its queues begin at different places in it.
+    """
+    rows = packed.where("container_id is not null").withColumn("window", F.expr("cast(element_at(split(container_id, '-'), -2) as bigint)"))
+    cells = rows.groupBy("profile", "window", "source").agg(F.sum("tokens").alias("t"))
+    ends = cells.groupBy("profile", "source").agg(F.max("window").alias("w")).groupBy("profile").agg(F.min("w").alias("end"))
+    cells = cells.join(F.broadcast(ends), "profile").where("window > 0 and window < end")
+    per_window = cells.groupBy("profile", "window").agg(F.sum("t").alias("w"))
+    total = cells.groupBy("profile").agg(F.sum("t").alias("p"))
+    whole = cells.groupBy("profile", "source").agg(F.sum("t").alias("s")).join(F.broadcast(total), "profile").select("profile", "source", (F.col("s") / F.col("p")).alias("share"))
+    off = F.abs(F.col("t") / F.col("w") - F.col("share"))
+    joined = cells.join(per_window, ["profile", "window"]).join(whole, ["profile", "source"])
+    return joined.groupBy("profile", "source").agg(F.round(F.first("share"), 6).alias("share"), F.round(F.avg(off), 6).alias("mean_deviation"), F.round(F.max(off), 6).alias("max_deviation"), F.count("*").alias("n_windows"))

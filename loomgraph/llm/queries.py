@@ -45,6 +45,12 @@ def p6_mixture(spark, folder):
     return packing.mixture_report(p6_packing(spark, folder))
 
 
+def p6_targets(spark, folder):
+    shares = table(spark, folder, "mix_targets").select("source", F.col("weight").alias("share"))
+    packed = packing.pack_documents(table(spark, folder, "documents", "doc_id", "source", "text"), table(spark, folder, "pack_capacity"), shares)
+    return packing.target_report(packed)
+
+
 def p7_mixing(spark, folder):
     return mixing.mix(table(spark, folder, "documents", "doc_id", "source", "text"), table(spark, folder, "mix_targets"))
 
@@ -53,6 +59,10 @@ def p7_shares(spark, folder):
     return mixing.share_report(p7_mixing(spark, folder), table(spark, folder, "mix_targets"))
 
 
+def p7_memberships(spark, folder):
+    return mixing.membership_report(table(spark, folder, "documents", "doc_id", "source", "text"), table(spark, folder, "mix_targets"))
+
+
 def p8_found(spark, folder):
     judged = truncation.truncated(table(spark, folder, "documents", "doc_id", "source", "text"))
     return judged.where("state = 'cut'").select("doc_id")
@@ -64,6 +74,6 @@ def p8_rates(spark, folder):
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_pairs, p1_from_files, p4_found, p4_provenance, p6_packing, p6_fill, p6_mixture, p7_mixing, p7_shares, p8_found, p8_rates)
+    for f in (p1_found, p1_pairs, p1_from_files, p4_found, p4_provenance, p6_packing, p6_fill, p6_mixture, p6_targets, p7_mixing, p7_shares, p7_memberships, p8_found, p8_rates)
 }
 SQL: dict[str, str] = {}

@@ -115,3 +115,30 @@ def test_mixing_without_rows(spark):
     assert mixing.mix(documents(spark, []), targets).count() == 0
     only = mixing.mix(documents(spark, [(1, "b", "text")]), targets.where("false")).collect()
     assert [r.uses for r in only] == [0]
+
+
+def test_memberships_keep_their_sum():
+    import numpy as np
+
+    model = mixing.SourceClassifier([f"s{i}" for i in range(60)] + [""], np.ones(61), np.ones((61, mixing.FEATURES)))
+    assert abs(sum(model.member([1, 2, 3])) - 1) < 1e-9 and abs(sum(mixing.SourceClassifier(["a", ""], np.array([5.0, 1.0]), np.ones((2, mixing.FEATURES))).member([7])) - 1) < 1e-9
+
+
+def test_memberships_on_hidden_labels(spark):
+    rows = [(i, "a", "alpha beta gamma " * 20) for i in range(60)] + [(100 + i, "b", "delta epsilon zeta " * 20) for i in range(60)]
+    rows += [(200 + i, "c", "eta theta iota kappa " * 20) for i in range(40)] + [(302, "c", None), (303, None, "")]
+    documents = spark.createDataFrame(rows, "doc_id bigint, source string, text string")
+    targets = spark.createDataFrame([("a", 0.5, 2), ("b", 0.5, 2)], TARGETS)
+    report = {r.source: r for r in mixing.membership_report(documents, targets).collect()}
+    assert report["a"].accuracy == 1.0 and report[""].n_hidden > 0 and abs(report["b"].soft_share - report["b"].true_share) < 0.01
+    assert mixing.membership_report(documents.where("false"), targets).where("n_hidden > 0").count() == 0
+
+
+def test_windows_keep_target_shares(spark):
+    counts = spark.createDataFrame([(i, "ab"[i % 2], 5 + i % 7) for i in range(6000)], "doc_id bigint, source string, tokens bigint")
+    capacities = spark.createDataFrame([("p", 32)], "profile string, capacity_tokens bigint")
+    shares = spark.createDataFrame([("a", 3.0), ("b", 1.0), ("none", 4.0)], "source string, share double")
+    packed = packing.pack(counts, capacities, shares)
+    assert packed.count() == 6000
+    report = {r.source: r for r in packing.target_report(packed).collect()}
+    assert abs(report["a"].share - 0.75) < 0.01 and report["a"].max_deviation < 0.02 and report["a"].n_windows > 3

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomgraph.session import Scratch
+
 LOOK_AHEAD = 5
 
 # Declarations by language, as (kind, pattern with the name as group 1).
@@ -84,34 +86,61 @@ def braces(text: str = "text") -> Column:
     return F.regexp_count(plain, F.lit(r"\{")) - F.regexp_count(plain, F.lit(r"\}"))
 
 
+def enclosing(points: DataFrame, spans: DataFrame) -> DataFrame:
+    """Every row of points (path, line, ...) once for each span (path, from, to, level, ...) with from < line <= to; adds ``span``.
+
+    Spans of one level don't overlap, so on each level the last one that began
+    is the only candidate: one running window per file and level, no join of
+    points with spans.
+    """
+    inner = F.struct(*[c for c in spans.columns if c != "path"]).alias("span")
+    levels = spans.groupBy("path").agg(F.explode(F.collect_set("level")).alias("_level"))
+    asked = points.join(levels, "path").withColumn("_began", F.lit(False)).withColumn("span", F.lit(None).cast(spans.select(inner).schema["span"].dataType))
+    begun = spans.select("path", F.col("from").alias("line"), F.col("level").alias("_level"), F.lit(True).alias("_began"), inner)
+    both = asked.unionByName(begun, allowMissingColumns=True)
+    before = Window.partitionBy("path", "_level").orderBy("line", "_began").rowsBetween(Window.unboundedPreceding, -1)
+    found = both.withColumn("span", F.coalesce("span", F.last("span", ignorenulls=True).over(before))).where("not _began and span is not null")
+    return found.where(F.col("line") <= F.col("span.to")).drop("_level", "_began")
+
+
 def scoped(lines: DataFrame) -> DataFrame:
     """Declarations with their enclosing type and last line.
 
     The depth before a line is the running sum of braces; a declaration ends at
     the first line that brings the depth back to where it began. Languages
     without braces end at the line before the next one that is indented no more.
+    Lines that lower the depth are events of each level they close, so the end
+    of a declaration is the next event of its level.
     """
     order = Window.partitionBy("path").orderBy("line")
     up_to = order.rowsBetween(Window.unboundedPreceding, 0)
-    rows = declarations(lines).withColumn("_delta", braces()).withColumn("_after", F.sum("_delta").over(up_to)).withColumn("depth", F.col("_after") - F.col("_delta"))
-    rows = rows.withColumn("indent", F.length(F.regexp_extract("text", r"^\s*", 0)))
+    rows = declarations(lines).withColumn("_delta", braces()).withColumn("_after", F.sum("_delta").over(up_to)).withColumn("_depth", F.col("_after") - F.col("_delta"))
     python = F.col("language") == "python"
-    rows = rows.withColumn("level", F.when(python, F.col("indent")).otherwise(F.col("depth")))
-    declared = rows.where("name is not null").select("path", "language", "line", "kind", "name", "level", "text")
-    # Only a line that closes something, or a declaration on one line, can be an end.
-    closing = F.when(python, F.trim("text") != "").otherwise((F.col("_delta") < 0) | F.col("name").isNotNull())
-    ends = rows.where(closing).select("path", F.col("line").alias("_line"), F.when(python, F.when(F.trim("text") != "", F.col("indent"))).otherwise(F.col("_after")).alias("_level"))
-    closed = declared.join(ends, "path").where((F.col("_line") >= F.col("line")) & (F.col("_level") <= F.col("level")))
-    brace_end = F.min(F.when(F.col("language") != "python", F.col("_line")))
-    python_end = F.min(F.when((F.col("language") == "python") & (F.col("_line") > F.col("line")), F.col("_line"))) - 1
+    indent = F.when(python & (F.trim("text") != ""), F.length(F.regexp_extract("text", r"^\s*", 0)))
+    rows = rows.withColumn("_indent", indent).withColumn("_before", F.last("_indent", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    following = order.rowsBetween(1, Window.unboundedFollowing)
+    rows = rows.withColumn("_next", F.first("_indent", ignorenulls=True).over(following)).withColumn("_next_line", F.first(F.when(F.col("_indent").isNotNull(), F.col("line")), ignorenulls=True).over(following))
+    rows = rows.withColumn("level", F.when(python, F.col("_indent")).otherwise(F.col("_depth")).cast("long"))
+    declared = F.col("name").isNotNull()
+    levels = rows.where(declared).groupBy("path").agg(F.collect_set("level").alias("_levels"), F.count(F.lit(1)).alias("_n"))
     last = rows.groupBy("path").agg(F.max("line").alias("_last"))
-    found = closed.groupBy("path", "line", "kind", "name").agg(F.coalesce(brace_end, python_end).alias("end_line"))
-    out = declared.join(found, ["path", "line", "kind", "name"], "left").join(last, "path").withColumn("end_line", F.coalesce("end_line", "_last")).drop("_last")
+    rows = rows.join(levels, "path").join(last, "path")
+    low, high = F.when(python, F.col("_indent")).otherwise(F.col("_after")), F.when(python, F.col("_before")).otherwise(F.col("_depth"))
+    closes = rows.where(low < high).select("path", "line", F.explode(F.filter("_levels", lambda x: (x >= low) & (x < high))).alias("level"), F.lit(True).alias("_event"))
+    heads = rows.where(declared).select("path", "language", "line", "kind", "name", "level", "text", "_after", "_next", "_next_line", "_last", F.lit(False).alias("_event"))
+    ahead = Window.partitionBy("path", "level").orderBy("line", F.desc("_event")).rowsBetween(1, Window.unboundedFollowing)
+    found = heads.unionByName(closes, allowMissingColumns=True).withColumn("_close", F.min(F.when(F.col("_event"), F.col("line"))).over(ahead)).where("not _event")
+    # A declaration that opens nothing ends where it stands.
+    brace_end = F.when(F.col("_after") <= F.col("level"), F.col("line")).otherwise(F.col("_close"))
+    python_end = F.when(F.col("_next") <= F.col("level"), F.col("_next_line")).otherwise(F.col("_close")) - 1
+    out = found.withColumn("end_line", F.coalesce(F.when(python, python_end).otherwise(brace_end), "_last"))
+    out = out.select("path", "language", "line", "kind", "name", "level", "text", "end_line")
     # A header whose brace opens on a later line closes at once by depth; it ends with the type around it then.
-    types = out.where(F.col("kind").isin(*TYPE_KINDS)).select("path", F.col("name").alias("_owner"), F.col("line").alias("_from"), F.col("end_line").alias("_to"))
-    inside = out.join(types, "path", "left").where((F.col("_from") < F.col("line")) & (F.col("_to") >= F.col("end_line")))
-    owner = inside.groupBy("path", "line", "kind", "name").agg(F.max_by("_owner", "_from").alias("owner"), F.max("_from").alias("owner_line"))
-    return out.join(owner, ["path", "line", "kind", "name"], "left").select("path", "language", "kind", "name", F.col("line").alias("start_line"), "end_line", "owner", "owner_line", F.trim("text").alias("text"))
+    types = out.where(F.col("kind").isin(*TYPE_KINDS)).select("path", F.col("line").alias("from"), F.col("end_line").alias("to"), "level", F.col("name").alias("owner"))
+    inside = enclosing(out.select("path", "line", "kind", "name", "end_line"), types).where(F.col("span.to") >= F.col("end_line"))
+    owner = inside.groupBy("path", "line", "kind", "name").agg(F.max(F.struct("span.from", "span.owner")).alias("_o"))
+    named = out.join(owner, ["path", "line", "kind", "name"], "left")
+    return named.select("path", "language", "kind", "name", F.col("line").alias("start_line"), "end_line", F.col("_o.owner").alias("owner"), F.col("_o.from").alias("owner_line"), F.trim("text").alias("text"), "level")
 
 
 def symbol_id(path: str = "path", name: str = "name", line: str = "start_line") -> Column:
@@ -137,11 +166,11 @@ def parsed_edges(files: DataFrame) -> DataFrame:
     """Edges of all supported sources: contains, calls (target ``path:name``), imports, extends, implements."""
     contents = current_contents(files)
     lines = source_lines(contents)
-    rows = scoped(lines)
+    rows = Scratch(files.sparkSession).write(scoped(lines))
     contains = rows.where("owner is not null").select(F.concat_ws(":", "path", "owner", F.col("owner_line").cast("string")).alias("source"), symbol_id().alias("target"), F.lit("contains").alias("kind"), F.col("start_line").alias("line"))
-    callers = rows.where("kind in ('method', 'function', 'constructor')").select("path", F.col("start_line").alias("_from"), F.col("end_line").alias("_to"), symbol_id().alias("source"))
+    callers = rows.where("kind in ('method', 'function', 'constructor')").select("path", F.col("start_line").alias("from"), F.col("end_line").alias("to"), "level", symbol_id().alias("source"))
     called = lines.select("path", "line", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"(\w+)\s*\("), F.lit(1)))).alias("callee")).where(~F.col("callee").isin(*NOT_CALLS))
-    inside = called.join(callers, "path").where((F.col("line") > F.col("_from")) & (F.col("line") <= F.col("_to")))
+    inside = enclosing(called, callers).select("path", "line", "callee", "span.source")
     calls = inside.groupBy("source", F.concat_ws(":", "path", "callee").alias("target")).agg(F.min("line").alias("line")).select("source", "target", F.lit("calls").alias("kind"), "line")
     imported = F.coalesce(*[F.nullif(F.regexp_extract("text", p, 1), F.lit("")) for p in (r"^import (?:static )?([\w.]+)", r"^import .* from ['\"]([^'\"]+)['\"]", r"^from ([\w.]+) import ")])
     imports = lines.where("text rlike '^(import|from) '").select(F.concat_ws(":", "path", F.lit("module")).alias("source"), imported.alias("target"), F.lit("imports").alias("kind"), "line").where("target is not null")
@@ -178,7 +207,8 @@ def doc_comments(files: DataFrame) -> DataFrame:
     other = F.when(~(text.startswith("@")) & (text != ""), F.col("line"))
     rows = rows.withColumn("_other", F.last(other, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)))
     heads = rows.where("name is not null and _close = _other and _open <= _close").select("path", F.col("line").alias("head"), "name", F.col("_open").alias("a"), F.col("_close").alias("b"))
-    body = rows.select("path", F.col("line").alias("l"), F.trim(F.regexp_replace("text", r"^\s*/?\*+/?|\*/\s*$", "")).alias("t"))
-    joined = heads.join(body, "path").where("l between a and b and t != ''")
+    # A line belongs to the comment that was opened last.
+    body = rows.where("_open is not null").select("path", F.col("_open").alias("a"), F.col("line").alias("l"), F.trim(F.regexp_replace("text", r"^\s*/?\*+/?|\*/\s*$", "")).alias("t"))
+    joined = heads.join(body, ["path", "a"]).where("l <= b and t != ''")
     ordered = F.array_sort(F.collect_list(F.struct("l", "t")))
     return joined.groupBy("path", F.col("head").alias("line"), "name").agg(F.array_join(F.transform(ordered, lambda x: x["t"]), " ").alias("docstring"))

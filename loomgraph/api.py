@@ -59,7 +59,7 @@ class Index:
     def symbols(self, symbol: str, most: int = 5) -> DataFrame:
         """(id): the symbol of that id, or the best matches of a search."""
         rows = graph.current_nodes(self.tables.nodes, "name").where(F.col("id") == symbol).select("id")
-        return rows if not rows.isEmpty() else search.search(self.tables.nodes, symbol[:500], most).select("id")
+        return rows if not rows.isEmpty() else search.search(self.tables.nodes, symbol, most).select("id")
 
     def relations(self) -> DataFrame:
         """All relations: those of the edge table and those that frameworks leave in sources."""
@@ -83,7 +83,7 @@ def _search(ix: Index, query: str, kind: str | None = None, limit: int | None =
 @tool("context", "Symbols, neighbours and code for a task", task="str", max_nodes="int")
 def _context(ix: Index, task: str, max_nodes: int = 20) -> DataFrame:
     t = ix.tables
-    rows = context.build_context(t.nodes, t.edges, t.files, task[:500]).limit(max_nodes)
+    rows = context.build_context(t.nodes, t.edges, t.files, task).limit(max_nodes)
     return context.code_blocks(rows, t.nodes, t.files, t.edges)
 
 

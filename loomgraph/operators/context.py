@@ -72,7 +72,11 @@ def code_blocks(selected: DataFrame, nodes: DataFrame, files: DataFrame, edges:
     content = files.where("content is not null").groupBy("path").agg(F.max(F.struct("indexed_at", "content_hash", "content")).alias("f")).select(F.col("path").alias("file_path"), F.split(F.col("f.content"), "\n").alias("lines"))
     rows = current_nodes(nodes, "file_path", "start_line", "end_line").join(selected.select("id").distinct(), "id", "left_semi").join(content, "file_path", "left")
     code = F.array_join(F.slice("lines", F.greatest("start_line", F.lit(1)), F.greatest(F.col("end_line") - F.col("start_line") + 1, F.lit(1))), "\n")
-    first = lambda df, key: df.groupBy(key).agg(F.array_join(F.slice(F.sort_array(F.collect_set("name")), 1, near), ",").alias("names"))
+    def first(df: DataFrame, key: str) -> DataFrame:
+        # The names are made distinct and ranked before they are collected, so that a hot symbol collects ``near`` of them.
+        unique = df.select(key, "name").where("name is not null").distinct()
+        return ranking.top_per_group(unique, [key], ["name"], near).groupBy(key).agg(F.array_join(F.sort_array(F.collect_list("name")), ",").alias("names"))
+
     ids = selected.select(F.col("id").alias("symbol")).distinct()
     into = first(callers(edges, nodes).join(ids, "symbol", "left_semi"), "symbol").select(F.col("symbol").alias("id"), F.col("names").alias("callers"))
     out = first(callees(edges, nodes).join(ids, "symbol", "left_semi"), "symbol").select(F.col("symbol").alias("id"), F.col("names").alias("callees"))

@@ -301,7 +301,7 @@ def cache_related(edges: DataFrame) -> DataFrame:
 def match_routes(calls: DataFrame, routes: DataFrame) -> DataFrame:
     """Best route of each call: calls (call_id, method, url), routes (route_id, verb, path).
 
-    Paths must have as many segments; 60 points, and for each segment 10 if
+    Paths must have as many segments, and each segment must fit; 60 points, and for each segment 10 if
     equal, 5 if a variable or equal but for case; the same path has 100; 10
     more for the verb. The first best route wins.
     """
@@ -311,7 +311,13 @@ def match_routes(calls: DataFrame, routes: DataFrame) -> DataFrame:
 
     a = calls.withColumn("_u", cleaned("url")).withColumn("_us", F.split("_u", "/")).withColumn("_n", F.size("_us"))
     b = routes.withColumn("_p", cleaned("path")).withColumn("_ps", F.split("_p", "/")).withColumn("_n", F.size("_ps"))
-    pairs = a.join(b, "_n")
+    # A route is known by its shape: its length, and its segments in lower case with '*' for variables. A call asks
+    # for every such shape that occurs with its length and fits its segments, so routes that can't match never meet it.
+    variable = "^(\\{.*\\}|:.+)$"
+    b = b.withColumn("_shape", F.transform("_ps", lambda p: F.when(p.rlike(variable), "*").otherwise(F.lower(p))))
+    masks = b.select("_n", F.transform("_shape", lambda p: p == "*").alias("_mask")).distinct()
+    asked = a.join(masks, "_n").withColumn("_shape", F.zip_with("_us", "_mask", lambda u, m: F.when(m, "*").otherwise(F.lower(u))))
+    pairs = asked.drop("_n", "_mask").join(b.drop("_n"), "_shape").drop("_shape")
     points = F.zip_with("_us", "_ps", lambda u, p: F.when(u == p, 10).when(p.rlike("^(\\{.*\\}|:.+)$"), 5).when(F.lower(u) == F.lower(p), 5).otherwise(-1000))
     score = F.when(F.col("_u") == F.col("_p"), 100).otherwise(F.lit(60) + F.aggregate(points, F.lit(0), lambda s, x: s + x) - 10)
     verb = F.when((F.upper("verb") == "ANY") | (F.upper("verb") == F.upper("method")), 10).otherwise(0)

@@ -43,8 +43,8 @@ def document_tokens(nodes: DataFrame) -> DataFrame:
     return current_nodes(nodes, *FIELDS).select(F.col("id").alias("node_id"), F.concat(*[tokens_of(f) for f in FIELDS]).alias("tokens"))
 
 
-def match_all(nodes: DataFrame, queries: DataFrame, top: int = 10) -> DataFrame:
-    """(query_id, node_id, score): symbols that hold all words of a query, best BM25 first, ``top`` per query.
+def match_all(nodes: DataFrame, queries: DataFrame, top: int | None = 10) -> DataFrame:
+    """(query_id, node_id, score): symbols that hold all words of a query, best BM25 first, ``top`` per query or all.
 
     ``queries`` is (query_id, words). Only the rarest word of a query is a join
     key; the other words are looked up in the matched symbol's own tokens. Equal
@@ -71,7 +71,7 @@ def match_all(nodes: DataFrame, queries: DataFrame, top: int = 10) -> DataFrame:
 
     scored = pairs.select("words", "node_id", F.round(F.aggregate("w", F.lit(0.0), lambda s, w: s + part(w)), 6).alias("score"))
     rank = F.row_number().over(Window.partitionBy("words").orderBy(F.desc("score"), "node_id"))
-    best = scored.withColumn("_r", rank).where(F.col("_r") <= top).drop("_r")
+    best = scored.withColumn("_r", rank).where(F.col("_r") <= top).drop("_r") if top else scored
     return asked.join(best, "words").select("query_id", "node_id", "score")
 
 
@@ -142,13 +142,13 @@ def search(nodes: DataFrame, text: str, limit: int = 50, module: str | None = No
     if words:
         spark = nodes.sparkSession
         asked = spark.createDataFrame([(0, words)], "query_id int, words array<string>")
-        hits = match_all(rows, asked, top=1_000_000).select(F.col("node_id").alias("id"), "score")
+        hits = match_all(rows, asked, top=None).select(F.col("node_id").alias("id"), "score")
         found = kept.join(hits, "id")
         if found.isEmpty():
             plain = like_all(rows, words).select(F.col("node_id").alias("id"), F.lit(0.5).alias("score"))
             found = kept.join(plain, "id")
         if found.isEmpty():
-            near = fuzzy(rows, [query.text], 1_000_000).select(F.col("node_id").alias("id"), (1 / (1 + F.col("distance"))).alias("score"))
+            near = fuzzy(rows, [query.text], None).select(F.col("node_id").alias("id"), (1 / (1 + F.col("distance"))).alias("score"))
             found = kept.join(near, "id")
     else:
         found = kept.withColumn("score", F.lit(0.0))
@@ -178,7 +178,7 @@ def _osa_column(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([osa(x, y) for x, y in zip(a, b)], dtype="int32")
 
 
-def fuzzy(nodes: DataFrame, terms: list[str], top: int = 20) -> DataFrame:
+def fuzzy(nodes: DataFrame, terms: list[str], top: int | None = 20) -> DataFrame:
     """(term, node_id, distance): symbols whose name or qualified name is at most three edits from a term.
 
     The terms are a short list given by the caller, held against all different
@@ -191,6 +191,8 @@ def fuzzy(nodes: DataFrame, terms: list[str], top: int = 20) -> DataFrame:
     pairs = named.select("n").distinct().select("n", wanted.alias("term")).where((F.abs(F.length("n") - F.length("term")) <= MAX_DISTANCE) & (F.levenshtein("n", "term", 2 * MAX_DISTANCE) >= 0))
     near = pairs.withColumn("distance", _osa_column("n", "term")).where(F.col("distance") <= MAX_DISTANCE)
     hits = named.join(near, "n").groupBy("term", F.col("id").alias("node_id")).agg(F.min("distance").alias("distance"))
+    if not top:
+        return hits
     rank = F.row_number().over(Window.partitionBy("term").orderBy("distance", "node_id"))
     return hits.withColumn("_r", rank).where(F.col("_r") <= top).drop("_r")
 

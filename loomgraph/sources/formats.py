@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomgraph.session import Scratch
+
 
 def all_groups(text: str | Column, pattern: str, **groups: int) -> Column:
     """All matches of a pattern as an array of structs, one field for each named group number."""
@@ -148,7 +150,7 @@ def network_policies(contents: DataFrame) -> DataFrame:
 def compose_services(contents: DataFrame) -> DataFrame:
     """(path, name, image, ports, depends_on, environment) of compose files, from their flattened keys."""
     rows = yaml_entries(contents.where("path rlike '(?i)(docker-)?compose[^/]*[.]ya?ml$'")).where("key like 'services.%'")
-    rows = rows.select("path", F.split("key", "\\.")[1].alias("name"), F.expr("array_join(slice(split(key, '[.]'), 3, 9), '.')").alias("rest"), "value", "line")
+    rows = rows.select("path", F.split("key", "\\.")[1].alias("name"), F.expr("array_join(slice(split(key, '[.]'), 3, size(split(key, '[.]'))), '.')").alias("rest"), "value", "line")
     listed = lambda prefix: F.array_sort(F.collect_list(F.when(F.col("rest").startswith(prefix) & (F.col("value") != ""), F.col("value"))))
     return rows.groupBy("path", "name").agg(F.max(F.when(F.col("rest") == "image", F.col("value"))).alias("image"), listed("ports").alias("ports"), listed("depends_on").alias("depends_on"), listed("environment").alias("environment"))
 
@@ -168,7 +170,7 @@ def maven_modules(contents: DataFrame) -> DataFrame:
     block = F.regexp_extract("content", r"(?s)<properties>(.*?)</properties>", 1)
     entries = all_groups(block, r"<([\w.\-]+)>\s*([^<]*?)\s*</\1>", k=1, v=2)
     return rows.select(
-        "path", F.coalesce(one(bare, "groupId"), one(parent, "groupId")).alias("group_id"), one(bare, "artifactId").alias("artifact_id"), F.coalesce(one(bare, "version"), one(parent, "version")).alias("version"),
+        "path", F.coalesce(one(parent, "groupId"), one(bare, "groupId")).alias("parent_group"), F.coalesce(one(bare, "groupId"), one(parent, "groupId")).alias("group_id"), one(bare, "artifactId").alias("artifact_id"), F.coalesce(one(bare, "version"), one(parent, "version")).alias("version"),
         one(parent, "artifactId").alias("parent"), F.map_from_arrays(F.transform(entries, lambda e: e["k"]), F.transform(entries, lambda e: e["v"])).alias("properties"),
         F.regexp_extract_all("content", F.lit(r"<module>\s*([^<]+?)\s*</module>"), F.lit(1)).alias("submodules"),
     )
@@ -193,7 +195,7 @@ def maven_dependencies(contents: DataFrame) -> DataFrame:
     each = parts.select("path", "managed", F.explode(F.regexp_extract_all("text", F.lit(r"(?s)<dependency>(.*?)</dependency>"), F.lit(1))).alias("d"))
     one = lambda tag: F.nullif(F.regexp_extract("d", rf"<{tag}>\s*([^<]+?)\s*</{tag}>", 1), F.lit(""))
     out = each.select("path", "managed", one("groupId").alias("group_id"), one("artifactId").alias("artifact_id"), one("version").alias("version"), F.coalesce(one("scope"), F.lit("compile")).alias("scope"))
-    named = out.join(modules.select("path", F.col("artifact_id").alias("module"), F.col("version").alias("own_version"), F.col("group_id").alias("own_group")), "path").join(inherited, "module", "left")
+    named = out.join(modules.select("path", F.col("artifact_id").alias("module"), F.col("version").alias("own_version"), F.col("group_id").alias("own_group")), "path").join(inherited.drop("module"), "path", "left")
     named = named.withColumn("properties", F.map_concat(F.coalesce("properties", F.create_map().cast("map<string,string>")), F.create_map(F.lit("\x00v"), F.lit(""))))
     version = F.when(F.col("version") == "${project.version}", F.col("own_version")).otherwise(resolve_properties("version", "properties"))
     group = F.when(F.col("group_id") == "${project.groupId}", F.col("own_group")).otherwise(resolve_properties("group_id", "properties"))
@@ -201,14 +203,25 @@ def maven_dependencies(contents: DataFrame) -> DataFrame:
 
 
 def maven_chain(modules: DataFrame, depth: int = 10) -> DataFrame:
-    """(module, properties): properties with those of all parents below them; cycles end after ten steps."""
-    base = modules.select(F.col("artifact_id").alias("module"), "parent", "properties").where("module is not null").dropDuplicates(["module"])
-    state, link = base, base.select(F.col("module").alias("_m"), F.col("parent").alias("_up"), F.col("properties").alias("_p"))
-    for _ in range(min(depth, 4)):
-        joined = state.join(link, state["parent"] == F.col("_m"), "left")
+    """(path, module, properties): properties with those of up to ``depth`` parents below them, so that cycles end.
+
+    A parent is the POM of that group and artifact; of several the one with the
+    smallest path. A round goes up by one parent and is written; the rounds end
+    when no parent is left.
+    """
+    scratch = Scratch(modules.sparkSession)
+    key = F.struct(F.coalesce("group_id", F.lit("")).alias("g"), F.col("artifact_id").alias("a"))
+    up = F.when(F.col("parent").isNotNull(), F.struct(F.coalesce("parent_group", F.lit("")).alias("g"), F.col("parent").alias("a")))
+    state = modules.where("artifact_id is not null").select("path", F.col("artifact_id").alias("module"), key.alias("key"), up.alias("up"), "properties")
+    poms = scratch.write(state.groupBy("key").agg(F.min(F.struct("path", "up")).alias("f"), F.min_by("properties", "path").alias("_p")).select(F.col("key").alias("up"), F.col("f.up").alias("_up"), "_p"))
+    state, found = scratch.counted(state, open=F.count("up"))
+    done = 0
+    while found["open"] and done < depth:
         merged = F.map_concat(F.map_filter(F.coalesce("_p", F.create_map().cast("map<string,string>")), lambda k, _v: ~F.map_contains_key("properties", k)), "properties")
-        state = joined.select("module", F.col("_up").alias("parent"), merged.alias("properties"))
-    return state.select("module", "properties")
+        following, found = scratch.counted(state.join(poms, "up", "left").select("path", "module", "key", F.col("_up").alias("up"), merged.alias("properties")), open=F.count("up"))
+        scratch.drop(state)
+        state, done = following, done + 1
+    return state.select("path", "module", "properties")
 
 
 def gradle_dependencies(contents: DataFrame) -> DataFrame:
@@ -269,7 +282,8 @@ def drools_search(rules: DataFrame, term: str) -> DataFrame:
 def gateway_routes(contents: DataFrame) -> DataFrame:
     """(path, id, uri, service, predicates, filters) of gateway routes, each with its own predicates and filters."""
     rows = contents.where("path rlike '[.]ya?ml$' and content like '%gateway:%' and content like '%routes:%'")
-    blocks = rows.select("path", F.explode(F.slice(F.split("content", r"(?m)^\s*- id:\s*"), 2, 10_000)).alias("b"))
+    rows = rows.select("path", F.split("content", r"(?m)^\s*- id:\s*").alias("parts"))
+    blocks = rows.select("path", F.explode(F.expr("slice(parts, 2, size(parts))")).alias("b"))
     listed = lambda name: F.regexp_extract_all(F.regexp_extract("b", rf"(?m)^\s*{name}:\s*\n((?:\s*- .*\n?)+)", 1), F.lit(r"- ([^\n]+)"), F.lit(1))
     return blocks.select("path", F.regexp_extract("b", r"^(\S+)", 1).alias("id"), F.regexp_extract("b", r"uri:\s*(\S+)", 1).alias("uri"), F.regexp_extract("b", r"uri:\s*(?:lb|https?)://([\w.-]+)", 1).alias("service"), listed("predicates").alias("predicates"), listed("filters").alias("filters"))
 
@@ -277,11 +291,13 @@ def gateway_routes(contents: DataFrame) -> DataFrame:
 def locale_messages(contents: DataFrame) -> DataFrame:
     """(path, locale, key, value) of message files in JSON, nested keys joined by '.'."""
     rows = contents.where("path rlike '(?i)(locales?|i18n|lang)/[^/]*[.]json$'").select("path", F.regexp_extract("path", r"([\w-]+)[.]json$", 1).alias("locale"), F.from_json("content", "map<string,string>").alias("m")).where("m is not null")
-    state = rows.select("path", "locale", F.explode("m").alias("key", "value"))
-    for _ in range(5):
+    scratch = Scratch(contents.sparkSession)
+    is_open = F.col("value").startswith("{") & F.from_json("value", "map<string,string>").isNotNull()
+    state, found = scratch.counted(rows.select("path", "locale", F.explode("m").alias("key", "value")), open=F.count_if(is_open))
+    while found["open"]:
         nested = F.from_json("value", "map<string,string>")
         grown = F.when(F.col("value").startswith("{") & nested.isNotNull(), F.transform(F.map_entries(nested), lambda e: F.struct(F.concat_ws(".", "key", e["key"]).alias("key"), e["value"].alias("value")))).otherwise(F.array(F.struct("key", "value")))
-        state = state.select("path", "locale", F.explode(grown).alias("e")).select("path", "locale", "e.key", "e.value")
+        state, found = scratch.counted(state.select("path", "locale", F.explode(grown).alias("e")).select("path", "locale", "e.key", "e.value"), open=F.count_if(is_open))
     return state
 
 

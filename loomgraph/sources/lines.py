@@ -19,7 +19,7 @@ DECLARATIONS: dict[str, tuple[tuple[str, str], ...]] = {
         ("interface", r"^\s*(?:(?:public|protected|private|abstract|static|sealed|non-sealed)\s+)*@?interface\s+(\w+)"),
         ("enum", r"^\s*(?:(?:public|protected|private|static)\s+)*enum\s+(\w+)"),
         ("class", r"^\s*(?:(?:public|protected|private|abstract|final|static|sealed)\s+)*(?:class|record)\s+(\w+)"),
-        ("method", r"^\s+(?:(?:public|protected|private|static|final|abstract|synchronized|default|native)\s+)*(?:<[^>]+>\s+)?(?!return\b|new\b|else\b|throw\b)[\w.<>\[\],? ]+?\s+(?!if\b|for\b|while\b|switch\b|catch\b)(\w+)\s*\([^;]*\)?\s*(?:throws [\w., ]+)?[{;]?\s*$"),
+        ("method", r"^\s+(?:(?:public|protected|private|static|final|abstract|synchronized|default|native)\s+)*(?:<[^>]+>\s+)?(?!return\b|new\b|else\b|throw\b)\w[\w.<>\[\],? ]*?\s+(?!if\b|for\b|while\b|switch\b|catch\b)(\w+)\s*\([^;]*\)?\s*(?:throws [\w., ]+)?[{;]?\s*$"),
         ("constructor", r"^\s+(?:public|protected|private)\s+([A-Z]\w*)\s*\("),
         ("field", r"^\s+(?:(?:public|protected|private|static|final|volatile|transient)\s+)+[\w.<>\[\],? ]+\s+(\w+)\s*(?:=.*)?;\s*$"),
     ),

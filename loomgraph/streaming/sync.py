@@ -57,20 +57,25 @@ def sync_to(reports: DataFrame, table_path: str, checkpoint: str) -> StreamingQu
         pointer = f"{table_path}/_versions"
         versions = _versions(spark, pointer)
         fresh = latest_operations(batch)
-        if versions:
-            fresh = apply_changes(spark.read.parquet(f"{table_path}/v{versions[-1]}"), batch)
-        # A batch that is repeated after a failure writes its own version again.
+        # A batch that is repeated after a failure starts from the version before its own and writes its own again.
+        before = [v for v in versions if v < batch_id]
+        if before:
+            fresh = apply_changes(spark.read.parquet(f"{table_path}/v{before[-1]}"), batch)
         fresh.write.mode("overwrite").parquet(f"{table_path}/v{batch_id}")
-        spark.range(1).select(F.lit(batch_id).alias("v")).write.mode("append").parquet(pointer)
+        spark.range(1).select(F.lit(batch_id).cast("int").alias("v")).write.mode("append").parquet(pointer)
+        # The version before stays for readers that began with it; older ones go.
+        for old in before[:-1]:
+            where = spark._jvm.org.apache.hadoop.fs.Path(f"{table_path}/v{old}")
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
     return reports.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def _versions(spark: SparkSession, pointer: str) -> list[int]:
-    try:
-        return [r["v"] for r in spark.read.parquet(pointer).distinct().orderBy("v").collect()]
-    except Exception:  # the first batch
-        return []
+    where = spark._jvm.org.apache.hadoop.fs.Path(pointer)
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        return []  # the first batch
+    return [r["v"] for r in spark.read.schema("v int").parquet(pointer).distinct().orderBy("v").collect()]
 
 
 def read_synced(spark: SparkSession, table_path: str) -> DataFrame:

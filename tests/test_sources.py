@@ -214,3 +214,42 @@ def test_inventories(files):
     rows = summaries.inventory(relations, "transactions").collect()
     assert rows[0].f_propagation == "Propagation.REQUIRES_NEW" and rows[0].f_readOnly == "true"
     assert summaries.inventory(relations, "cache_topologies").first().target == "cache:users" and len(summaries.INVENTORIES) == 52
+
+
+def contents_of(spark, **files):
+    return spark.createDataFrame([(path, "x", text) for path, text in files.items()], "path string, language string, content string")
+
+
+def test_properties_of_ten_parents(spark):
+    pom = lambda at, parent: (
+        f"<project>{f'<parent><groupId>g</groupId><artifactId>p{parent}</artifactId></parent>' if parent is not None else ''}<groupId>g</groupId><artifactId>p{at}</artifactId>"
+        f"<properties><k{at}>v{at}</k{at}></properties><dependencies><dependency><groupId>x</groupId><artifactId>y</artifactId><version>${{k9}}</version></dependency></dependencies></project>"
+    )
+    files = {f"s/p{i}/pom.xml": pom(i, i + 1 if i < 9 else None) for i in range(10)}
+    files |= {"s/other/pom.xml": pom(9, None).replace("<groupId>g</groupId>", "<groupId>h</groupId>").replace("v9", "wrong"), "s/ring/pom.xml": pom(20, 20)}
+    contents = contents_of(spark, **files)
+    chain = {r.path: dict(r.properties) for r in formats.maven_chain(formats.maven_modules(contents)).collect()}
+    assert chain["s/p0/pom.xml"] == {f"k{i}": f"v{i}" for i in range(10)} and chain["s/ring/pom.xml"] == {"k20": "v20"}
+    found = {r.path: r.version for r in formats.maven_dependencies(contents).collect()}
+    assert found["s/p0/pom.xml"] == "v9" and found["s/other/pom.xml"] == "wrong"
+
+
+def test_locale_keys_of_any_depth_and_deep_compose_keys(spark):
+    deep = '{"a": {"b": {"c": {"d": {"e": {"f": {"g": "x"}}}}}}, "k": "{not json"}'
+    assert rows_of(formats.locale_messages(contents_of(spark, **{"s/locales/en.json": deep})), "key", "value") == {("a.b.c.d.e.f.g", "x"), ("k", "{not json")}
+    routes = "spring:\n  cloud:\n    gateway:\n      routes:\n" + "".join(f"        - id: r{i}\n          uri: lb://s{i}\n" for i in range(10_050))
+    assert formats.gateway_routes(contents_of(spark, **{"s/a.yml": routes})).count() == 10_050
+
+
+def test_a_word_that_many_providers_share_still_matches(spark):
+    from loomgraph.operators import workspace
+
+    found = spark.createDataFrame([("provides", f"p{i}", "http_endpoint", f"GET /orders/list{i}") for i in range(150)] + [("consumes", "c", "http_request", "/orders")], "side string, project string, kind string, name string")
+    assert [(r.consumer, r.score) for r in workspace.match_consumers(found).collect()] == [("c", 15)]
+
+
+def test_one_long_file_is_no_join_within_itself(spark):
+    body = "class A {\n" + "".join(f"    void m{i}(int a) {{\n        n{i}(a);\n    }}\n" for i in range(3000)) + "}\n"
+    files = spark.createDataFrame([("s/A.java", "java", body, 1, "h")], "path string, language string, content string, indexed_at bigint, content_hash string")
+    edges = lines.parsed_edges(files)
+    assert edges.where("kind = 'calls'").count() == 3000 and edges.where("kind = 'contains'").count() == 3000

@@ -17,6 +17,20 @@ EXT = """ext as (select e.*, x.providing_service as target_service, x.name as sy
 CONF = "coalesce(cast(json_extract_string(metadata, '$.confidence') as double), 1.0)"
 DISPATCH = "('dispatch_call', 'dispatch_registration', 'proxy_wraps', 'aop_advises', 'conditional_impl')"
 CALLABLE = "('function', 'method', 'constructor')"
+FD = "fd as (select distinct a.file_path as source, b.file_path as target from edges e join cn a on a.id = e.source join cn b on b.id = e.target where e.kind = 'imports' and a.file_path <> b.file_path)"
+
+
+def pages_sql(depth: int) -> str:
+    """Files that each page imports, by level: (seed, id) in p0, p1 and so on, each without those of the levels before."""
+    parts = ["p0 as (select distinct path as seed, path as id from files where ends_with(path, '.vue'))"]
+    for level in range(1, depth + 1):
+        seen = " union all ".join(f"select seed, id from p{i}" for i in range(level))
+        parts.append(f"p{level} as (select p.seed, s.target as id from p{level - 1} p join fd s on s.source = p.id except ({seen}))")
+    return ", ".join(parts)
+
+
+def pages_levels(depth: int, first: int = 0) -> str:
+    return " union all ".join(f"select seed, id, {i} as depth from p{i}" for i in range(first, depth + 1))
 
 
 class Folder:
@@ -41,5 +55,5 @@ class Registry:
             raise ValueError(name)
         self.QUERIES[name] = lambda spark, folder, q=query: q(Folder(spark, folder))
         if sql:
-            recursive = "recursive " if any("union all" in c and c.split(" as ")[0] in c.split(" as ", 1)[1] for c in ctes) else ""
+            recursive = "recursive " if any("union" in c and c.split(" as ")[0] in c.split(" as ", 1)[1] for c in ctes) else ""
             self.SQL[name] = (f"with {recursive}" + ", ".join(ctes) + " " if ctes else "") + sql

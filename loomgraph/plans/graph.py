@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import paths, text
 from loomgraph.operators import aggregates, graph, links, ranking, resolution, search, sets, traversal
-from loomgraph.plans.base import ANN, CALLABLE, CALLS, CE, CN, CONF, DISPATCH, EXT, Registry
+from loomgraph.plans.base import ANN, CALLABLE, CALLS, CE, CN, CONF, DISPATCH, EXT, FD, Registry, pages_levels, pages_sql
 
 R = Registry()
 add = R.add
@@ -26,7 +26,8 @@ add("filter_module_patterns", lambda t: t.modules.where(paths.matches_name_patte
 add("path_classes", lambda t: t.files.select("path").distinct().select("path", paths.path_class("path").alias("class")), "select path, case when regexp_matches(lower(path), 'test|spec|__test__') then 'test' when regexp_matches(lower(path), 'sample|example|demo') then 'sample' when regexp_matches(lower(path), 'generated|\\.pb\\.|mock') then 'generated' else 'production' end as class from (select distinct path from files)")
 _GENERATED = paths.GENERATED_PATH.replace("'", "''")
 add("path_relevance", lambda t: t.files.select("path").distinct().select("path", paths.path_relevance("path").alias("relevance")), f"select path, case when regexp_matches(p, '{_GENERATED}') then -2 when regexp_matches(path, '{paths.TEST_PATH}') then -1 when contains(p, 'src/') or contains(p, 'app/') or contains(p, 'components/') then 1 else 0 end as relevance from (select distinct path, replace(path, '\\', '/') as p from files)")
-add("path_languages", lambda t: t.files.select("path").distinct().select(paths.language_of("path").alias("language")).groupBy("language").agg(F.count("*").alias("n_paths")))
+add("path_languages", lambda t: t.files.select("path").distinct().select(paths.language_of("path").alias("language")).groupBy("language").agg(F.count("*").alias("n_paths")), "select coalesce(l.language, 'unknown') as language, count(*) as n_paths from (select distinct path, lower(regexp_extract(path, '\\.([A-Za-z0-9]+)$', 1)) as e from files) p left join (values "
+    + ", ".join(f"('{e}', '{language}')" for e, language in paths.LANGUAGES.items()) + ") l(e, language) on l.e = p.e group by 1")
 add("unresolved_references", lambda t: resolution.unresolved(t.edges, t.nodes, t.external_symbols), "select distinct source, target, kind from edges where target is not null and not regexp_matches(target, '^(tx|cache|config|topic):') and target not in (select id from nodes where id is not null) and target not in (select id from external_symbols)")
 
 # -- links --------------------------------------------------------------------
@@ -91,8 +92,11 @@ add("dominant_file", lambda t: aggregates.dominant_file(t.nodes), "select module
 add("conflicting_names", lambda t: aggregates.conflicting_names(t.nodes), "select qualified_name, cast(count(distinct kind) as integer) as n_kinds, array_to_string(list_sort(list(distinct kind)), ',') as kinds from cn group by qualified_name having count(distinct kind) > 1", CN)
 add("first_bindings", lambda t: aggregates.first_binding(t.edges), "select source, arg_min(target, seq) as target from edges where starts_with(target, 'config:') and source is not null group by source")
 add("average_confidence", lambda t: aggregates.average_confidence(t.edges), f"select kind, count(*) as n_edges, round(avg({CONF}), 6) as avg_confidence from edges group by kind")
-add("complexity", lambda t: aggregates.complexity(t.nodes, t.files))
-add("complexity_top", lambda t: aggregates.complexity(t.nodes, t.files).orderBy(F.desc("complexity"), "id").limit(20))
+_FX = "fx as (select path, string_split(arg_max(content, (indexed_at, content_hash, content)), chr(10)) as lines from files where content is not null group by path)"
+_CX = "cx as (select id, name, cast(1 + " + " + ".join(f"len(regexp_extract_all(body, '{p}'))" for p in aggregates.BRANCHES) + f""" as integer) as complexity from (select n.id, n.name, array_to_string(list_slice(lines, start_line, end_line), chr(10)) as body from cn n join fx on fx.path = n.file_path
+  where kind in {CALLABLE} and start_line > 0 and end_line >= start_line and len(lines) >= start_line))"""
+add("complexity", lambda t: aggregates.complexity(t.nodes, t.files), "select * from cx", CN, _FX, _CX)
+add("complexity_top", lambda t: aggregates.complexity(t.nodes, t.files).orderBy(F.desc("complexity"), "id").limit(20), "select * from cx order by complexity desc, id limit 20", CN, _FX, _CX)
 add("similar_code", lambda t: aggregates.similar_code(t.nodes, t.nodes.where("seq % 50 = 0").select("id")), r"""select id, other_id, n_equal, round(s, 2) as similarity from (select *, row_number() over (partition by id order by s desc, other_id) as r from (
   select q.id, c.rep as other_id, c.n_equal, len(list_intersect(q.tokens, c.tokens)) / (len(q.tokens) + len(c.tokens) - len(list_intersect(q.tokens, c.tokens)))::double as s from tk q join cl c on c.kind = q.kind and c.tokens <> q.tokens where q.id in (select id from nodes where seq % 50 = 0)) where s >= 0.5) where r <= 10""",
     CN, f"tk as (select id, kind, tokens from (select id, kind, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(concat_ws(' ', name, signature, docstring)), '[\\s,();{{}}\\[\\]<>]+'), lambda w: length(w) > 1))) as tokens from cn where kind in {CALLABLE}) where len(tokens) > 0)", "cl as (select kind, tokens, min(id) as rep, count(*) as n_equal from tk group by kind, tokens)")
@@ -155,15 +159,16 @@ add("backtrace_distance", lambda t: traversal.distance_from_entry(t.edges, t.nod
 add("dispatch_chain", lambda t: traversal.dispatch_chain(t.edges, graph.current_nodes(t.nodes, "kind").where("kind = 'interface'"), 3), _levels(3), CN, f"both_ as (select source, target from edges where kind in {DISPATCH} and source is not null and target is not null union select target, source from edges where kind in {DISPATCH} and source is not null and target is not null)", _reach("select id from cn where kind = 'interface'", "both_", 3))
 _MS = "ms as (select distinct a.module_id as source, b.module_id as target from edges e join cn a on a.id = e.source join cn b on b.id = e.target where e.kind = 'imports' and a.module_id <> '' and b.module_id <> '' and a.module_id <> b.module_id)"
 add("module_paths", lambda t: traversal.simple_paths(traversal.module_steps(t.edges, t.nodes, "imports"), t.modules, None, 3).select(F.array_join("path", ">").alias("path"), "length"), "select array_to_string(path, '>') as path, cast(len(path) - 1 as integer) as length from p where len(path) > 1", CN, _MS, "p as (select id as at_, [id] as path from modules union all select ms.target, list_append(p.path, ms.target) from p join ms on ms.source = p.at_ where not list_contains(p.path, ms.target) and len(p.path) <= 3)")
-_FD = "fd as (select distinct a.file_path as source, b.file_path as target from edges e join cn a on a.id = e.source join cn b on b.id = e.target where e.kind = 'imports' and a.file_path <> b.file_path)"
 _CYC = "select array_to_string(path, '>') as path, cast(len(path) as integer) as length from p join {s} s on s.source = p.at_ and s.target = p.path[1] where len(path) > 1"
 _CYCP = "p as (select source as at_, [source] as path from (select distinct source from {s}) union all select s.target, list_append(p.path, s.target) from p join {s} s on s.source = p.at_ where s.target > p.path[1] and not list_contains(p.path, s.target) and len(p.path) < {n})"
 add("module_cycles", lambda t: traversal.cycles(traversal.module_steps(t.edges, t.nodes, "imports"), 3).select(F.array_join("path", ">").alias("path"), "length"), _CYC.format(s="ms"), CN, _MS, _CYCP.format(s="ms", n=3))
-add("import_cycles", lambda t: traversal.cycles(links.file_dependencies(t.edges, t.nodes).select(F.col("file_path").alias("source"), F.col("depends_on").alias("target")), 4).select(F.array_join("path", ">").alias("path"), "length"), _CYC.format(s="fd"), CN, _FD, _CYCP.format(s="fd", n=4))
+add("import_cycles", lambda t: traversal.cycles(links.file_dependencies(t.edges, t.nodes).select(F.col("file_path").alias("source"), F.col("depends_on").alias("target")), 4).select(F.array_join("path", ">").alias("path"), "length"), _CYC.format(s="fd"), CN, FD, _CYCP.format(s="fd", n=4))
 # Cycles and paths above are listed up to the length that stands there; components hold the cycles of every length.
-add("module_components", lambda t: traversal.components(traversal.module_steps(t.edges, t.nodes, "imports")))
-add("import_components", lambda t: traversal.components(links.file_dependencies(t.edges, t.nodes).select(F.col("file_path").alias("source"), F.col("depends_on").alias("target"))))
-add("page_fanout", lambda t: traversal.page_fanout(t.edges, t.nodes, t.files.where(F.col("path").endswith(".vue"))).groupBy("seed", "depth").agg(F.count("*").alias("n_files")))
+_REACHED = "reached as (select source, target from {s} union select r.source, s.target from reached r join {s} s on s.source = r.target)"
+_TOGETHER = "select component, id, size from (select a.source as id, max(a.target) as component, count(*) as size from reached a join reached b on b.source = a.target and b.target = a.source group by a.source) where size > 1"
+add("module_components", lambda t: traversal.components(traversal.module_steps(t.edges, t.nodes, "imports")), _TOGETHER, CN, _MS, _REACHED.format(s="ms"))
+add("import_components", lambda t: traversal.components(links.file_dependencies(t.edges, t.nodes).select(F.col("file_path").alias("source"), F.col("depends_on").alias("target"))), _TOGETHER, CN, FD, _REACHED.format(s="fd"))
+add("page_fanout", lambda t: traversal.page_fanout(t.edges, t.nodes, t.files.where(F.col("path").endswith(".vue"))).groupBy("seed", "depth").agg(F.count("*").alias("n_files")), f"select seed, depth, count(*) as n_files from ({pages_levels(4)}) group by seed, depth", CN, FD, pages_sql(4))
 add("transitive_callers", lambda t: traversal.transitive_callers(t.edges, t.nodes))
 add("related_symbols", lambda t: traversal.related_symbols(t.edges, t.nodes).groupBy("symbol", "relation").agg(F.count("*").alias("n_others")), "select symbol, relation, count(*) as n_others from (select source as symbol, 'callee' as relation, target as o from calls where target in (select id from cn) union all select target, 'caller', source from calls where source in (select id from cn) union all select parent_id, 'child', id from cn where parent_id is not null union all select id, 'parent', parent_id from cn where parent_id in (select id from cn) union all select distinct target, 'implementation', source from edges where kind = 'implements') group by 1, 2", CN, CALLS)
 add("expand_graph", lambda t: traversal.expand(t.edges, t.nodes, _changed(t), 5), "select seed, id from (select seed, id, row_number() over (partition by seed order by id) as r from (select source as seed, target as id from calls where target in (select id from cn) union select target, source from calls where source in (select id from cn)) where seed in (select n.id from cn n where n.file_path in (select path from file_changes where op = 'modified'))) where r <= 5", CN, CALLS)
@@ -216,7 +221,13 @@ def _questions(t):
 
 
 add("search_fuzzy", lambda t: search.fuzzy(t.nodes, ["publishInvocie", "RefundServise", "sortLedgr"]), "select term, node_id, distance from (select *, row_number() over (partition by term order by distance, node_id) as r from (select term, id as node_id, cast(min(least(damerau_levenshtein(lower(name), term), damerau_levenshtein(lower(coalesce(qualified_name, name)), term))) as integer) as distance from cn, (values ('publishinvocie'), ('refundservise'), ('sortledgr')) v(term) group by term, id) where distance <= 3) where r <= 20", CN)
-add("search_fields", lambda t: search.search(t.nodes, "kind:method lang:java invoice", 40).select("id", "name", "kind"))
+add("search_fields", lambda t: search.search(t.nodes, "kind:method lang:java invoice", 40).select("id", "name", "kind"), f"""select id, name, kind from (select n.id, n.name, n.kind, case when regexp_matches(replace(n.file_path, '\\', '/'), '{_GENERATED}') then -2 when regexp_matches(n.file_path, '{paths.TEST_PATH}') then -1 when regexp_matches(replace(n.file_path, '\\', '/'), 'src/|app/|components/') then 1 else 0 end as relevance,
+  round(greatest(ln(((select count(*) from cn) - (select count(*) from hit where token = 'invoice') + 0.5) / ((select count(*) from hit where token = 'invoice') + 0.5)), 1e-6) * h.tf * 2.2 / (h.tf + 1.2 * (0.25 + 0.75 * l.n / ((select sum(n) from lens) / (select count(*) from cn)))), 6) as score
+  from cn n join hit h on h.node_id = n.id and h.token = 'invoice' join lens l on l.node_id = n.id where n.kind = 'method' and lower(n.language) = 'java' order by relevance desc, score desc, id limit 40)""",
+    CN, "toks as (" + " union all ".join(f"select id as node_id, unnest({_TOK.format(f=f)}) as token from cn" for f in search.FIELDS) + ")", "hit as (select token, node_id, count(*) as tf from toks group by 1, 2)", "lens as (select node_id, count(*) as n from toks group by 1)")
 add("search_camel", lambda t: search.camel_match(t.nodes, ["open", "invoice"]), "select id, name from cn where list_has_all(list_filter(regexp_split_to_array(lower(regexp_replace(regexp_replace(name, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '([A-Z]+)([A-Z][a-z])', '\\1 \\2', 'g')), '[^a-z0-9]+'), lambda w: w <> ''), ['open', 'invoice'])", CN)
 
+_WORDS = "list_filter(regexp_split_to_array(lower(regexp_replace({c}, '([a-z0-9])([A-Z])', '\\1 \\2', 'g')), '[^a-z0-9]+'), lambda w: w <> '')"
+add("named_modules", lambda t: links.named_by(t.nodes, t.modules.select(F.col("id").alias("name"))), f"select m.id as name, n.id as node_id from modules m join cn n on list_has_all({_WORDS.format(c='n.name')}, regexp_split_to_array(lower(m.id), '[^a-z0-9]+'))", CN)
+
 QUERIES, SQL = R.QUERIES, R.SQL

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomgraph.operators import aggregates, context, diagrams, dispatch, summaries, traces, traversal, workspace
-from loomgraph.plans.base import ANN, CALLABLE, CALLS, CN, EXT, Registry
+from loomgraph.operators import aggregates, context, diagrams, dispatch, sets, summaries, traces, traversal, workspace
+from loomgraph.plans.base import ANN, CALLABLE, CALLS, CN, EXT, FD, Registry, pages_levels, pages_sql
 from loomgraph.sources import formats, frameworks, infrastructure, lines
 from loomgraph.streaming import sync
 
@@ -28,12 +28,15 @@ add("source_annotations", lambda t: lines.annotation_uses(t.files))
 add("source_doc_comments", lambda t: lines.doc_comments(t.files))
 add("source_extends", lambda t: lines.parsed_edges(t.files).where("kind in ('extends', 'implements')"))
 add("config_properties", lambda t: formats.property_entries(lines.current_contents(t.files).withColumn("path", F.regexp_replace("path", "[.]ya?ml$", ".properties"))), r"select regexp_replace(path, '[.]ya?ml$', '.properties') as path, trim(regexp_extract(text, '^([^=]*)=', 1)) as key, trim(regexp_extract(text, '^[^=]*=(.*)$', 1)) as value, cast(line as integer) as line from ln where regexp_matches(path, '[.](ya?ml|properties)$') and trim(text) <> '' and not regexp_matches(trim(text), '^[#!]') and contains(text, '=')", _FC, _LN)
-add("config_yaml", lambda t: formats.yaml_entries(lines.current_contents(t.files)), r"""select l.path, case when regexp_matches(l.text, '^\s') then (select arg_max(regexp_extract(p.text, '^([\w.-]+):', 1), p.line) from ln p where p.path = l.path and p.line < l.line and regexp_matches(p.text, '^[\w.-]+:')) || '.' else '' end || trim(regexp_extract(l.text, '^\s*([\w.\-]+)\s*:', 1)) as key,
-  trim(regexp_extract(l.text, '^\s*[\w.\-]+\s*:(?:\s+(.*))?$', 1)) as value, cast(l.line as integer) as line from ln l where regexp_matches(l.path, '[.]ya?ml$') and trim(l.text) <> '' and not regexp_matches(trim(l.text), '^#') and regexp_matches(l.text, '^\s*[\w.\-]+\s*:(\s|$)')""", _FC, _LN)
-add("config_cascade", lambda t: formats.config_cascade(formats.yaml_entries(lines.current_contents(t.files)), ["prod"]).groupBy("module").agg(F.count("*").alias("n_keys")))
+_YAML = r"""select l.path, case when regexp_matches(l.text, '^\s') then (select arg_max(regexp_extract(p.text, '^([\w.-]+):', 1), p.line) from ln p where p.path = l.path and p.line < l.line and regexp_matches(p.text, '^[\w.-]+:')) || '.' else '' end || trim(regexp_extract(l.text, '^\s*([\w.\-]+)\s*:', 1)) as key,
+  trim(regexp_extract(l.text, '^\s*[\w.\-]+\s*:(?:\s+(.*))?$', 1)) as value, cast(l.line as integer) as line from ln l where regexp_matches(l.path, '[.]ya?ml$') and trim(l.text) <> '' and not regexp_matches(trim(l.text), '^#') and regexp_matches(l.text, '^\s*[\w.\-]+\s*:(\s|$)')"""
+add("config_yaml", lambda t: formats.yaml_entries(lines.current_contents(t.files)), _YAML, _FC, _LN)
+add("config_cascade", lambda t: formats.config_cascade(formats.yaml_entries(lines.current_contents(t.files)), ["prod"]).groupBy("module").agg(F.count("*").alias("n_keys")), r"select array_to_string(list_slice(string_split(path, '/'), 1, 2), '/') as module, count(distinct key) as n_keys from ye where regexp_extract(path, '(?:^|/)\w+-(\w+)\.[^/]*$', 1) in ('', 'prod') group by 1", _FC, _LN, f"ye as ({_YAML})")
 add("mapper_statements", lambda t: formats.mapper_statements(lines.current_contents(t.files)), r"""select path, namespace, m[1] as verb, m[2] as id, trim(regexp_replace(m[3], '\s+', ' ', 'g')) as sql from (select path, regexp_extract(content, '<mapper\s+namespace="([^"]+)"', 1) as namespace,
   unnest(list_zip(regexp_extract_all(content, '(?s)<(select|insert|update|delete)\s+[^>]*?\bid="([^"]+)"[^>]*>(.*?)</(?:select|insert|update|delete)>', 1), regexp_extract_all(content, '(?s)<(select|insert|update|delete)\s+[^>]*?\bid="([^"]+)"[^>]*>(.*?)</(?:select|insert|update|delete)>', 2), regexp_extract_all(content, '(?s)<(select|insert|update|delete)\s+[^>]*?\bid="([^"]+)"[^>]*>(.*?)</(?:select|insert|update|delete)>', 3))) as m from fc where contains(content, '<mapper'))""", _FC)
-add("vue_templates", lambda t: formats.vue_template(lines.current_contents(t.files)))
+_VUE = (("component", r"<([A-Z]\w+|[a-z]+(?:-[a-z]+)+)[\s/>]"), ("event", r"@([\w:.-]+)="), ("slot", r'<slot(?:\s+name="([\w-]+)")?'), ("directive", r"\s(v-[\w-]+)"), ("binding", r"\s:([\w-]+)="))
+add("vue_templates", lambda t: formats.vue_template(lines.current_contents(t.files)), "select distinct path, what, coalesce(nullif(name, ''), 'default') as name from (" + " union all ".join(f"select path, '{what}' as what, unnest(regexp_extract_all(t, '{p}', 1)) as name from vt" for what, p in _VUE) + ")",
+    _FC, "vt as (select path, regexp_extract(content, '(?s)<template[^>]*>(.*)</template>', 1) as t from fc where ends_with(path, '.vue'))")
 add("framework_relations", lambda t: frameworks.annotation_relations(t.files))
 add("text_relations", lambda t: frameworks.text_relations(t.files))
 add("infrastructure_relations", lambda t: infrastructure.infrastructure_relations(t.files))
@@ -53,16 +56,45 @@ add("dispatch_factory", lambda t: dispatch.factory(t.nodes, t.edges).select("sou
 add("dispatch_inferred", lambda t: dispatch.infer(t.nodes, t.edges))
 
 # -- traces and diagrams ------------------------------------------------------
-add("full_traces", lambda t: traces.full_traces(t.edges, t.nodes))
-add("trace_steps", lambda t: traces.trace_steps(traces.full_traces(t.edges, t.nodes)))
+_TRACES = (
+    "roles as (select n.id, case when n.kind = 'entry_point' then 'entry_point' when m.role is not null then m.role else 'main_method' end as role from cn n left join (select node_id, min(v.role) as role from ann join (values "
+    + ", ".join(f"('{a}', '{role}')" for a, role in traversal.ENTRY_ANNOTATIONS.items()) + ") v(name, role) on v.name = annotation_name group by node_id) m on m.node_id = n.id where n.kind = 'entry_point' or m.role is not null or (n.name = 'main' and regexp_matches(n.file_path, '[.](java|kt)$')))",
+    f"begun as (select r.id as e, r.role, coalesce(m.id, r.id) as f from roles r left join (select id, parent_id from cn where parent_id is not null and kind in {CALLABLE}) m on m.parent_id = r.id)",
+    "traced as (select distinct md5(b.e || chr(31) || b.f || chr(31) || c.target) as trace_id, b.e, b.role, b.f, c.target as s from begun b join calls c on c.source = b.f join cn on cn.id = c.target)",
+    "outer_ as (select source, target, row_number() over (partition by source order by target) as r from (select distinct source, target from edges where kind in ('calls', 'references', 'dispatch_call') and regexp_matches(target, '^(topic|cache|config|tx|ext):')))",
+    "hops as (select trace_id, cast(0 as integer) as hop, e as node_id, role from traced union all select trace_id, 1, f, 'method' from traced where f <> e union all select trace_id, case when f <> e then 2 else 1 end, s, 'callee' from traced "
+    "union all select trace_id, cast(case when f <> e then 2 else 1 end + o.r as integer), o.target, 'outside' from traced join outer_ o on o.source = s)",
+)
+add("full_traces", lambda t: traces.full_traces(t.edges, t.nodes), "select * from hops", CN, CALLS, ANN, *_TRACES)
+add("trace_steps", lambda t: traces.trace_steps(traces.full_traces(t.edges, t.nodes)), "select trace_id, hop, node_id as source, target from (select *, lead(node_id) over (partition by trace_id order by hop) as target from hops) where target is not null", CN, CALLS, ANN, *_TRACES)
 _SX = "sx as (select c.source, c.target, a.module_id as ma, b.module_id as mb from calls c join cn a on a.id = c.source join cn b on b.id = c.target where a.module_id <> '' and b.module_id <> '')"
 add("service_traces", lambda t: traces.service_traces(t.edges, t.nodes, t.external_symbols).drop("n_entries"), "select m.module_id, (select count(*) from sx where ma = mb and ma = m.module_id) as n_internal, (select count(*) from sx where ma <> mb and ma = m.module_id) as n_out, (select count(*) from sx where ma <> mb and mb = m.module_id) as n_in, (select count(*) from ext join cn on cn.id = ext.source_location where cn.module_id = m.module_id) as n_external from (select distinct module_id from cn where module_id <> '') m", CN, CALLS, EXT, _SX)
 add("diagram_services", lambda t: diagrams.service_diagram(aggregates.service_graph(t.edges, t.nodes)), "select 'graph LR' || chr(10) || string_agg(line, chr(10) order by line) as diagram from (select '  ' || regexp_replace(ma, '[^A-Za-z0-9]', '_', 'g') || ' -->|' || count(*) || '| ' || regexp_replace(mb, '[^A-Za-z0-9]', '_', 'g') as line from (select distinct e.source, e.target, e.kind, a.module_id as ma, b.module_id as mb from edges e join cn a on a.id = e.source join cn b on b.id = e.target where e.kind in ('calls', 'imports', 'references', 'instantiates') and a.module_id <> '' and b.module_id <> '' and a.module_id <> b.module_id) group by ma, mb)", CN)
-add("diagram_architecture", lambda t: diagrams.architecture_diagram(t.modules, aggregates.service_graph(t.edges, t.nodes)))
-add("diagram_caches", lambda t: diagrams.key_diagram(t.edges, t.nodes, "cache:"))
-add("diagram_transactions", lambda t: diagrams.key_diagram(t.edges, t.nodes, "tx:"))
-add("diagram_sequence", lambda t: diagrams.sequence_diagram(aggregates.service_graph(t.edges, t.nodes)))
-add("diagram_fanout", lambda t: diagrams.fanout_diagram(traversal.page_fanout(t.edges, t.nodes, t.files.where(F.col("path").endswith(".vue")), 2)))
+
+
+def _diagram(lines_sql: str, head: str) -> tuple[str, str]:
+    """SQL of a diagram from SQL with one column, line, and the table that it draws from."""
+    return f"""select '{head}' || chr(10) || string_agg(line, chr(10) order by line) || case when (select count(*) from drawn) > {diagrams.MAX_LINES} then chr(10) || '  %% ' || ((select count(*) from drawn) - {diagrams.MAX_LINES}) || ' more' else '' end as diagram from (select line from drawn order by line limit {diagrams.MAX_LINES})""", f"drawn as (select distinct line from ({lines_sql}))"
+
+
+def _box(column: str) -> str:
+    return f"regexp_replace(regexp_replace({column}, '[^A-Za-z0-9]', '_', 'g'), '^([0-9])', 'n_\\1')"
+
+
+_SG = "sg as (select ma, mb, array_to_string(list_sort(list(distinct kind)), ',') as kinds from (select distinct e.kind, a.module_id as ma, b.module_id as mb from edges e join cn a on a.id = e.source join cn b on b.id = e.target where e.kind in ('calls', 'imports', 'references', 'instantiates') and a.module_id <> '' and b.module_id <> '' and a.module_id <> b.module_id) group by ma, mb)"
+_KEYS = "select '  ' || {a} || ' -->|' || count(*) || '| ' || {b} as line from (select distinct source, target from edges where starts_with(target, '{p}')) u join cn n on n.id = u.source where n.module_id <> '' group by n.module_id, u.target"
+
+
+def _draw(name: str, query, lines_sql: str, head: str, *ctes: str) -> None:
+    text, drawn = _diagram(lines_sql, head)
+    add(name, query, text, *ctes, drawn)
+
+
+_draw("diagram_architecture", lambda t: diagrams.architecture_diagram(t.modules, aggregates.service_graph(t.edges, t.nodes)), f"select '  ' || {_box('id')} || '[\"' || coalesce(name, id) || '\"]' as line from modules union all select '  ' || {_box('ma')} || ' --> ' || {_box('mb')} from sg", "graph TB", CN, _SG)
+_draw("diagram_caches", lambda t: diagrams.key_diagram(t.edges, t.nodes, "cache:"), _KEYS.format(a=_box("n.module_id"), b=_box("u.target"), p="cache:"), "graph LR", CN)
+_draw("diagram_transactions", lambda t: diagrams.key_diagram(t.edges, t.nodes, "tx:"), _KEYS.format(a=_box("n.module_id"), b=_box("u.target"), p="tx:"), "graph LR", CN)
+_draw("diagram_sequence", lambda t: diagrams.sequence_diagram(aggregates.service_graph(t.edges, t.nodes)), f"select '  ' || {_box('ma')} || '->>' || {_box('mb')} || ': ' || kinds as line from sg", "sequenceDiagram", CN, _SG)
+_draw("diagram_fanout", lambda t: diagrams.fanout_diagram(traversal.page_fanout(t.edges, t.nodes, t.files.where(F.col("path").endswith(".vue")), 2)), f"select '  ' || {_box('seed')} || ' -->|' || depth || '| ' || {_box('id')} as line from ({pages_levels(2, 1)})", "graph LR", CN, FD, pages_sql(2))
 
 # -- context ------------------------------------------------------------------
 add("context_of_task", lambda t: context.build_context(t.nodes, t.edges, t.files, "How does the RefundPublisher publish a refund invoice and close the ledger?"))
@@ -80,4 +112,8 @@ add("latest_operations", lambda t: sync.latest_operations(t.file_changes).select
 add("applied_changes", lambda t: sync.apply_changes(sync.latest_operations(t.file_changes.where("change_id % 2 = 0")), t.file_changes).select("path", "op"), "select path, arg_max(op, (changed_at, change_id)) as op from file_changes where path is not null and changed_at is not null group by path")
 add("stale_paths", lambda t: sync.stale_paths(t.files, t.file_changes).select("path"), "select l.path from (select path, arg_max(op, (changed_at, change_id)) as op, max(changed_at) as changed_at from file_changes where path is not null and changed_at is not null group by path) l join (select path, max(indexed_at) as i from files group by path) f on f.path = l.path where l.op <> 'deleted' and epoch_us(l.changed_at) // 1000 > f.i")
 
+_STATE = ["path", "content_hash", "size", "modified_at", "indexed_at"]
+add("sync_plan", lambda t: sync.plan_sync(sets.first_wins(t.files.where("path is not null").select(*_STATE), ["path"], "indexed_at"), sets.last_wins(t.files.where("path is not null").select(*_STATE), ["path"], "indexed_at")), """select path, 'modified' as change from (select path, arg_min({'h': content_hash, 's': size, 'm': modified_at}, (indexed_at, content_hash, size, modified_at)) as a, arg_max({'h': content_hash, 's': size, 'm': modified_at}, (indexed_at, content_hash, size, modified_at)) as b
+  from files where path is not null group by path) where not coalesce(a.s = b.s and a.m = b.m, false) and a.h is distinct from b.h""")
+
 QUERIES, SQL = R.QUERIES, R.SQL

@@ -228,6 +228,6 @@ add("search_fields", lambda t: search.search(t.nodes, "kind:method lang:java inv
 add("search_camel", lambda t: search.camel_match(t.nodes, ["open", "invoice"]), "select id, name from cn where list_has_all(list_filter(regexp_split_to_array(lower(regexp_replace(regexp_replace(name, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '([A-Z]+)([A-Z][a-z])', '\\1 \\2', 'g')), '[^a-z0-9]+'), lambda w: w <> ''), ['open', 'invoice'])", CN)
 
 _WORDS = "list_filter(regexp_split_to_array(lower(regexp_replace({c}, '([a-z0-9])([A-Z])', '\\1 \\2', 'g')), '[^a-z0-9]+'), lambda w: w <> '')"
-add("named_modules", lambda t: links.named_by(t.nodes, t.modules.select(F.col("id").alias("name"))), f"select m.id as name, n.id as node_id from modules m join cn n on list_has_all({_WORDS.format(c='n.name')}, regexp_split_to_array(lower(m.id), '[^a-z0-9]+'))", CN)
+add("named_modules", lambda t: links.named_by(t.nodes, t.modules.select(F.split("id", "-")[0].alias("name"))), f"select m.name, n.id as node_id from (select distinct string_split(id, '-')[1] as name from modules) m join cn n on list_has_all({_WORDS.format(c='n.name')}, regexp_split_to_array(lower(m.name), '[^a-z0-9]+'))", CN)
 
 QUERIES, SQL = R.QUERIES, R.SQL

@@ -79,6 +79,13 @@ tail as (
   select l.id, t.cycle_id, t.steps + 1 from loop l join tail t on l.parent = t.id where l.id not in (select id from ring))"""
 _TREE = f"with recursive {_CUR}, {_ENDS}, {_RINGS}, pairs as (select unnest(path) as a, id from up), below as (select a, count(*) - 1 as n from pairs group by a)"
 
+# Intervals: in the order of paths every inner symbol takes a place for its entry, one for its exit and one for each of its leaves.
+_PLACES = """parents as (select distinct parent as id from cur where parent is not null),
+leaf as (select id, path[1] as root, path[len(path) - 1] as parent, row_number() over (partition by path[len(path) - 1] order by id) as nth from up where len(path) > 1 and id not in (select id from parents)),
+inn as (select u.id, u.path, u.path[1] as root, len(u.path) - 1 as depth, coalesce(l.n, 0) as leaves from up u left join (select parent, count(*) as n from leaf group by parent) l on l.parent = u.id where u.id in (select id from parents)),
+under as (select a, sum(w) as w from (select unnest(list_slice(path, 1, len(path) - 1)) as a, 2 + leaves as w from inn) group by a),
+placed as (select id, root, leaves, coalesce(sum(2 + leaves) over (partition by root order by path rows between unbounded preceding and 1 preceding), 0) - depth as entry from inn)"""
+
 _REFS = """refs as (
   select 'edges' as ref_table, 'source' as ref_field, source as ref, seq, created_at as t from edges
   union all select 'edges', 'target', target, seq, created_at from edges
@@ -110,6 +117,10 @@ from up u join below b on b.a = u.id
 union all select id, null, null, null, null, cycle_id from tail""",
     "p2_descendants": f"""{_TREE}
 select a as ancestor_id, p.id, cast(len(u.path) - list_position(u.path, a) as integer) as distance from pairs p join up u on u.id = p.id where a <> p.id""",
+    "p2_intervals": f"""{_TREE}, {_PLACES}
+select p.id, p.root as root_id, cast(p.entry as bigint) as entry, cast(p.entry + 1 + p.leaves + coalesce(u.w, 0) as bigint) as exit from placed p left join under u on u.a = p.id
+union all select l.id, l.root, cast(p.entry + l.nth as bigint), cast(p.entry + l.nth as bigint) from leaf l join placed p on p.id = l.parent
+union all select id, id, 0, 0 from up where len(path) = 1 and id not in (select id from parents)""",
     "p3_found": f"with {_REFS} select * from judged where status is not null",
     "p3_report": f"with {_REFS} select ref_table, ref_field, period, status, count(*) as n_refs from judged where status is not null group by all",
     "p5_edges_per_target": """select target, kind, count(distinct coalesce('s' || source, '')) as n_edges, count(distinct source) as n_sources,

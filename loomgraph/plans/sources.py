@@ -48,12 +48,24 @@ add("projects", lambda t: workspace.projects(t.files).select("project", "n_files
 # -- dispatch -----------------------------------------------------------------
 _IMPL = """impl as (select target as interface_id, source as implementation_id from edges where kind in ('implements', 'conditional_impl') and source in (select id from cn) union select distinct i.id, c.id from cn i join cn c on c.kind in ('class', 'enum') and i.kind = 'interface' and
   exists (select 1 from (values (c.name), (regexp_extract(coalesce(c.qualified_name, c.name), '[^.]*$'))) v(k) where k = i.name or k = i.name || 'Impl' or (regexp_matches(i.name, '^I[A-Z]') and (k = substr(i.name, 2) or k = substr(i.name, 2) || 'Impl'))))"""
-add("dispatch_aop", lambda t: dispatch.aop(t.nodes, t.edges).select("source_id", "target_id", "confidence"), f"select parent_id as source_id, id as target_id, cast(0.7 as double) as confidence from cn where kind in {CALLABLE} and parent_id in (select node_id from ann where annotation_name in ('Transactional', 'Cacheable', 'CacheEvict', 'CachePut', 'Async', 'Retryable', 'Component'))", CN, ANN)
-add("dispatch_strategy", lambda t: dispatch.strategy(t.nodes, t.edges).select("source_id", "target_id", "confidence"), "select interface_id as source_id, implementation_id as target_id, cast(0.6 as double) as confidence from impl where interface_id in (select interface_id from impl group by 1 having count(*) >= 2)", CN, _IMPL)
-add("dispatch_conditional", lambda t: dispatch.conditional_beans(t.nodes, t.edges).select("source_id", "target_id", "confidence"), "select interface_id as source_id, implementation_id as target_id, cast(case when count(*) over (partition by interface_id) = 1 then 0.9 when implementation_id in (select node_id from ann where regexp_matches(annotation_name, '^(Conditional|Profile)')) then 0.8 else 0.6 end as double) as confidence from impl", CN, ANN, _IMPL)
-add("dispatch_factory", lambda t: dispatch.factory(t.nodes, t.edges).select("source_id", "target_id", F.round("confidence", 6).alias("confidence")), f"""select e.source as source_id, e.target as target_id, cast(0.4 as double) as confidence from (select distinct source, target from edges where kind = 'instantiates') e join cn m on m.id = e.source join cn c on c.id = e.target where m.kind in {CALLABLE} and regexp_matches(m.name, '^(create|build|make|new|get|open|load)[A-Z_]') and c.kind in ('class', 'enum')
-  union all select m.id, (select min(c.id) from cn c where c.kind in ('class', 'enum') and c.name = regexp_extract(m.signature, ':\\s*(\\w+)\\s*$', 1)), cast(0.35 as double) from cn m where m.kind in {CALLABLE} and regexp_matches(m.name, '^(create|build|make|new|get|open|load)[A-Z_]') and regexp_extract(m.signature, ':\\s*(\\w+)\\s*$', 1) in (select name from cn where kind in ('class', 'enum'))""", CN)
-add("dispatch_inferred", lambda t: dispatch.infer(t.nodes, t.edges))
+_AOP = f"select parent_id as source_id, id as target_id, cast(0.7 as double) as confidence from cn where kind in {CALLABLE} and parent_id in (select node_id from ann where annotation_name in ('Transactional', 'Cacheable', 'CacheEvict', 'CachePut', 'Async', 'Retryable', 'Component'))"
+_STRATEGY = "select interface_id as source_id, implementation_id as target_id, cast(0.6 as double) as confidence from impl where interface_id in (select interface_id from impl group by 1 having count(*) >= 2)"
+_CONDITIONAL = "select interface_id as source_id, implementation_id as target_id, cast(case when count(*) over (partition by interface_id) = 1 then 0.9 when implementation_id in (select node_id from ann where regexp_matches(annotation_name, '^(Conditional|Profile)')) then 0.8 else 0.6 end as double) as confidence from impl"
+_FACTORY = f"""select e.source as source_id, e.target as target_id, cast(0.4 as double) as confidence from (select distinct source, target from edges where kind = 'instantiates') e join cn m on m.id = e.source join cn c on c.id = e.target where m.kind in {CALLABLE} and regexp_matches(m.name, '^(create|build|make|new|get|open|load)[A-Z_]') and c.kind in ('class', 'enum')
+  union all select m.id, (select min(c.id) from cn c where c.kind in ('class', 'enum') and c.name = regexp_extract(m.signature, ':\\s*(\\w+)\\s*$', 1)), cast(0.35 as double) from cn m where m.kind in {CALLABLE} and regexp_matches(m.name, '^(create|build|make|new|get|open|load)[A-Z_]') and regexp_extract(m.signature, ':\\s*(\\w+)\\s*$', 1) in (select name from cn where kind in ('class', 'enum'))"""
+_PROXY = "select distinct e.source as source_id, e.target as target_id, cast(0.3 as double) as confidence from edges e where e.kind = 'instantiates' and e.source in (select source from edges where kind = 'calls' and regexp_matches(target, '(newProxyInstance|Enhancer[.:]create|createProxy)'))"
+_REFLECTION = "select distinct e.source as source_id, n.id as target_id, cast(0.1 as double) * 3 as confidence from edges e join cn n on n.qualified_name = json_extract_string(e.metadata, '$.argument') where e.kind = 'calls' and regexp_matches(e.target, '(forName|loadClass|newInstance|invoke)') and n.kind in ('class', 'enum')"
+_SPI = "select distinct e.source as source_id, i.implementation_id as target_id, cast(0.5 as double) as confidence, i.interface_id from edges e join impl i on i.interface_id = e.target where e.kind in ('references', 'type_of') and e.source in (select source from edges where kind = 'calls' and contains(target, 'ServiceLoader'))"
+add("dispatch_aop", lambda t: dispatch.aop(t.nodes, t.edges).select("source_id", "target_id", "confidence"), _AOP, CN, ANN)
+add("dispatch_strategy", lambda t: dispatch.strategy(t.nodes, t.edges).select("source_id", "target_id", "confidence"), _STRATEGY, CN, _IMPL)
+add("dispatch_conditional", lambda t: dispatch.conditional_beans(t.nodes, t.edges).select("source_id", "target_id", "confidence"), _CONDITIONAL, CN, ANN, _IMPL)
+add("dispatch_factory", lambda t: dispatch.factory(t.nodes, t.edges).select("source_id", "target_id", F.round("confidence", 6).alias("confidence")), _FACTORY, CN)
+add("dispatch_inferred", lambda t: dispatch.infer(t.nodes, t.edges).withColumn("confidence", F.round("confidence", 6)), """select source, target, kind, round(max(confidence), 6) as confidence, arg_max(provenance, (confidence, provenance)) as provenance from pats where confidence >= 0.3 and target is not null and source <> '' group by source, target, kind""", CN, ANN, _IMPL,
+    f"spi as ({_SPI})", "pats as (" + " union all ".join(f"select source_id as source, target_id as target, '{kind}' as kind, confidence, '{provenance}' as provenance from ({text})" for text, kind, provenance in (
+        (_AOP, "aop_advises", "aop_proxy"), (_STRATEGY, "dispatch_registration", "strategy_registered"), (_CONDITIONAL, "conditional_impl", "conditional_bean"), (_FACTORY, "dispatch_registration", "factory_product"),
+        (_PROXY, "proxy_wraps", "proxy_handler"), (_REFLECTION, "dispatch_registration", "reflective_match"), ("select source_id, target_id, confidence from spi", "dispatch_registration", "spi_loaded"),
+        ("select interface_id as source_id, target_id, confidence from spi where interface_id <> coalesce(source_id, '')", "conditional_impl", "spi_loaded"),
+    )) + ")")
 
 # -- traces and diagrams ------------------------------------------------------
 _TRACES = (

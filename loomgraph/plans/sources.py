@@ -40,7 +40,8 @@ add("vue_templates", lambda t: formats.vue_template(lines.current_contents(t.fil
 add("framework_relations", lambda t: frameworks.annotation_relations(t.files))
 add("text_relations", lambda t: frameworks.text_relations(t.files))
 add("infrastructure_relations", lambda t: infrastructure.infrastructure_relations(t.files))
-add("detected_frameworks", lambda t: frameworks.detected_frameworks(t.files))
+add("detected_frameworks", lambda t: frameworks.detected_frameworks(t.files), "select array_to_string(list_slice(string_split(replace(path, '\\', '/'), '/'), 1, 2), '/') as repository, framework, confidence, count(*) as n_files from (" + " union all ".join(
+    f"select path, '{name}' as framework, cast({c} as double) as confidence from fc where " + " or ".join("contains(content, '" + w.replace("'", "''") + "')" for w in words) for name, words, c in frameworks.FRAMEWORKS) + ") group by 1, 2, 3", _FC)
 add("routes", lambda t: frameworks.routes(t.files))
 add("inventory_counts", lambda t: summaries.inventory_counts(frameworks.annotation_relations(t.files).select("kind").unionByName(frameworks.text_relations(t.files).select("kind")).unionByName(t.edges.select("kind"))))
 add("projects", lambda t: workspace.projects(t.files).select("project", "n_files"), "select array_to_string(list_slice(string_split(replace(path, '\\', '/'), '/'), 1, 2), '/') as project, count(distinct path) as n_files from files where path is not null group by 1")

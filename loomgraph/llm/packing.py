@@ -154,7 +154,8 @@ def target_report(packed: DataFrame) -> DataFrame:
 
     ``share`` is the source's share of the tokens of these windows, the
     deviations are those of single windows from it. The first window of a
-    profile is left out, since its queues begin at different places in it.
+    profile is left out, since its queues begin at different places in it; a
+    profile without a whole window has n_windows 0 and nulls.
     """
     rows = packed.where("container_id is not null").withColumn("window", F.expr("cast(element_at(split(container_id, '-'), -2) as bigint)"))
     cells = rows.groupBy("profile", "window", "source").agg(F.sum("tokens").alias("t"))
@@ -165,4 +166,6 @@ def target_report(packed: DataFrame) -> DataFrame:
     whole = cells.groupBy("profile", "source").agg(F.sum("t").alias("s")).join(F.broadcast(total), "profile").select("profile", "source", (F.col("s") / F.col("p")).alias("share"))
     off = F.abs(F.col("t") / F.col("w") - F.col("share"))
     joined = cells.join(per_window, ["profile", "window"]).join(whole, ["profile", "source"])
-    return joined.groupBy("profile", "source").agg(F.round(F.first("share"), 6).alias("share"), F.round(F.avg(off), 6).alias("mean_deviation"), F.round(F.max(off), 6).alias("max_deviation"), F.count("*").alias("n_windows"))
+    found = joined.groupBy("profile", "source").agg(F.round(F.first("share"), 6).alias("share"), F.round(F.avg(off), 6).alias("mean_deviation"), F.round(F.max(off), 6).alias("max_deviation"), F.count("*").alias("n_windows"))
+    sources = rows.select("profile", "source").distinct()
+    return sources.join(found, ["profile", "source"], "left").withColumn("n_windows", F.coalesce("n_windows", F.lit(0)))

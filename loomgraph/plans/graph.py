@@ -221,10 +221,11 @@ def _questions(t):
 
 
 add("search_fuzzy", lambda t: search.fuzzy(t.nodes, ["publishInvocie", "RefundServise", "sortLedgr"]), "select term, node_id, distance from (select *, row_number() over (partition by term order by distance, node_id) as r from (select term, id as node_id, cast(min(least(damerau_levenshtein(lower(name), term), damerau_levenshtein(lower(coalesce(qualified_name, name)), term))) as integer) as distance from cn, (values ('publishinvocie'), ('refundservise'), ('sortledgr')) v(term) group by term, id) where distance <= 3) where r <= 20", CN)
-add("search_fields", lambda t: search.search(t.nodes, "kind:method lang:java invoice", 40).select("id", "name", "kind"), f"""select id, name, kind from (select n.id, n.name, n.kind, case when regexp_matches(replace(n.file_path, '\\', '/'), '{_GENERATED}') then -2 when regexp_matches(n.file_path, '{paths.TEST_PATH}') then -1 when regexp_matches(replace(n.file_path, '\\', '/'), 'src/|app/|components/') then 1 else 0 end as relevance,
-  round(greatest(ln(((select count(*) from cn) - (select count(*) from hit where token = 'invoice') + 0.5) / ((select count(*) from hit where token = 'invoice') + 0.5)), 1e-6) * h.tf * 2.2 / (h.tf + 1.2 * (0.25 + 0.75 * l.n / ((select sum(n) from lens) / (select count(*) from cn)))), 6) as score
-  from cn n join hit h on h.node_id = n.id and h.token = 'invoice' join lens l on l.node_id = n.id where n.kind = 'method' and lower(n.language) = 'java' order by relevance desc, score desc, id limit 40)""",
-    CN, "toks as (" + " union all ".join(f"select id as node_id, unnest({_TOK.format(f=f)}) as token from cn" for f in search.FIELDS) + ")", "hit as (select token, node_id, count(*) as tf from toks group by 1, 2)", "lens as (select node_id, count(*) as n from toks group by 1)")
+add("search_fields", lambda t: search.search(t.nodes, "kind:method lang:java invoice", 40).select("id", "name", "kind"), f"""select id, name, kind from (select id, name, kind, relevance, score from ranked union all select id, name, kind, relevance, 0.5 from kept where (contains(lower(name), 'invoice') or contains(lower(qualified_name), 'invoice') or contains(lower(file_path), 'invoice')) and not exists (select 1 from ranked)) order by relevance desc, score desc, id limit 40""", CN,
+    f"""kept as (select n.*, case when regexp_matches(replace(n.file_path, '\\', '/'), '{_GENERATED}') then -2 when regexp_matches(n.file_path, '{paths.TEST_PATH}') then -1 when regexp_matches(replace(n.file_path, '\\', '/'), 'src/|app/|components/') then 1 else 0 end as relevance from cn n where n.kind = 'method' and lower(n.language) = 'java')""",
+    "toks as (" + " union all ".join(f"select id as node_id, unnest({_TOK.format(f=f)}) as token from cn" for f in search.FIELDS) + ")", "hit as (select token, node_id, count(*) as tf from toks group by 1, 2)", "lens as (select node_id, count(*) as n from toks group by 1)",
+    """ranked as (select n.id, n.name, n.kind, n.relevance, round(greatest(ln(((select count(*) from cn) - (select count(*) from hit where token = 'invoice') + 0.5) / ((select count(*) from hit where token = 'invoice') + 0.5)), 1e-6) * h.tf * 2.2 / (h.tf + 1.2 * (0.25 + 0.75 * l.n / ((select sum(n) from lens) / (select count(*) from cn)))), 6) as score
+  from kept n join hit h on h.node_id = n.id and h.token = 'invoice' join lens l on l.node_id = n.id)""")
 add("search_camel", lambda t: search.camel_match(t.nodes, ["open", "invoice"]), "select id, name from cn where list_has_all(list_filter(regexp_split_to_array(lower(regexp_replace(regexp_replace(name, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '([A-Z]+)([A-Z][a-z])', '\\1 \\2', 'g')), '[^a-z0-9]+'), lambda w: w <> ''), ['open', 'invoice'])", CN)
 
 _WORDS = "list_filter(regexp_split_to_array(lower(regexp_replace({c}, '([a-z0-9])([A-Z])', '\\1 \\2', 'g')), '[^a-z0-9]+'), lambda w: w <> '')"

@@ -87,7 +87,7 @@ add("diagram_services", lambda t: diagrams.service_diagram(aggregates.service_gr
 
 def _diagram(lines_sql: str, head: str) -> tuple[str, str]:
     """SQL of a diagram from SQL with one column, line, and the table that it draws from."""
-    return f"""select '{head}' || chr(10) || string_agg(line, chr(10) order by line) || case when (select count(*) from drawn) > {diagrams.MAX_LINES} then chr(10) || '  %% ' || ((select count(*) from drawn) - {diagrams.MAX_LINES}) || ' more' else '' end as diagram from (select line from drawn order by line limit {diagrams.MAX_LINES})""", f"drawn as (select distinct line from ({lines_sql}))"
+    return f"""select '{head}' || chr(10) || coalesce(string_agg(line, chr(10) order by line), '') || case when (select count(*) from drawn) > {diagrams.MAX_LINES} then chr(10) || '  %% ' || ((select count(*) from drawn) - {diagrams.MAX_LINES}) || ' more' else '' end as diagram from (select line from drawn order by line limit {diagrams.MAX_LINES})""", f"drawn as (select distinct line from ({lines_sql}))"
 
 
 def _box(column: str) -> str:

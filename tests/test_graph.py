@@ -267,3 +267,23 @@ def test_index_of_a_tree(spark, tmp_path):
     assert {r.name for r in index.collect()} == {"Shop", "sell", "pack"}
     assert index.where("name = 'Shop'").first().docstring == "Sells things."
     assert len(api.TOOLS) == 35 and len(cli.commands()) >= 62
+
+
+def shuffled_rows(spark):
+    gateway = spark.sparkContext._gateway
+    stages = spark._jsc.sc().statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_references_move_only_sought_pieces(spark):
+    # Every name holds "id" and has some eighty pieces; only those that a reference seeks are moved, and of a short text ten for each task.
+    n = spark.range(3000).selectExpr("concat('n', id) as id", "concat('run', id) as name", "'method' as kind", "concat('pkg.module.ValidateThing', id, '.computeAllOfTheOthers', id) as qualified_name", "id as seq")
+    before, bound = shuffled_rows(spark), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    got = {}
+    for r in resolution.match_references(spark.createDataFrame([("id",), ("Thing2999.computeAll",), ("run7",), ("ValidateThing12.compute",)], "ref string"), n).collect():
+        got.setdefault(r.ref, []).append((r.id, r.confidence))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", bound)
+    ids = sorted(f"n{i}" for i in range(3000))
+    assert {k: sorted(v) for k, v in got.items()} == {"id": [(i, 0.5) for i in ids[:10]], "Thing2999.computeAll": [("n2999", 0.5)], "run7": [("n7", 0.7)], "ValidateThing12.compute": [("n12", 0.5)]}
+    assert shuffled_rows(spark) - before < 60_000

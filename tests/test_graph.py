@@ -1,10 +1,12 @@
 """Values taken by hand: search, routes, resolution, conditions, dispatch, ranking, text."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from loomgraph.functions import paths, text
-from loomgraph.operators import conditions, dispatch, links, ranking, resolution, search, sets, traces, traversal, workspace
+from loomgraph.operators import aggregates, conditions, dispatch, links, ranking, resolution, search, sets, traces, traversal, workspace
 
 NODE = "id string, kind string, name string, qualified_name string, file_path string, language string, start_line int, end_line int, docstring string, signature string, parent_id string, module_id string, seq bigint"
 
@@ -287,3 +289,35 @@ def test_references_move_only_sought_pieces(spark):
     ids = sorted(f"n{i}" for i in range(3000))
     assert {k: sorted(v) for k, v in got.items()} == {"id": [(i, 0.5) for i in ids[:10]], "Thing2999.computeAll": [("n2999", 0.5)], "run7": [("n7", 0.7)], "ValidateThing12.compute": [("n12", 0.5)]}
     assert shuffled_rows(spark) - before < 60_000
+
+
+def test_similar_code_moves_no_pair_beyond_the_best(spark):
+    # Every two of 1,500 symbols are alike: 300 queries have 450,000 pairs, of which ten each for a task are moved.
+    base = " ".join(f"w{k}" for k in range(8))
+    n = nodes(spark, *[{"id": f"s{i:04}", "name": f"s{i:04}", "kind": "method", "docstring": base} for i in range(1500)])
+    ask = n.where("id < 's0300'").select("id")
+    before, bound = shuffled_rows(spark), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    got = {}
+    for r in aggregates.similar_code(n, ask).collect():
+        got.setdefault(r.id, set()).add((r.other_id, r.similarity))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", bound)
+    assert got == {f"s{q:04}": {(f"s{i:04}", 0.8) for i in range(11) if i != q and (q < 10 or i < 10)} for q in range(300)}
+    assert shuffled_rows(spark) - before < 200_000
+
+
+def test_similar_code_equals_brute_force(spark):
+    rnd = random.Random(7)
+    texts = [" ".join(rnd.sample([f"w{k}" for k in range(14)], rnd.randrange(0, 12))) for _ in range(150)]
+    n = nodes(spark, *[{"id": f"s{i:03}", "name": "f", "kind": rnd.choice(["method", "Function"]), "docstring": t} for i, t in enumerate(texts)])
+    kinds = {r.id: r.kind.lower() for r in n.select("id", "kind").collect()}
+    classes = {}
+    for i, t in enumerate(texts):
+        if t:
+            classes.setdefault((kinds[f"s{i:03}"], frozenset(t.split())), []).append(f"s{i:03}")
+    for least in (0.3, 0.5, 0.7):
+        want = set()
+        for (kind, t), ids in classes.items():
+            scored = sorted((-len(t & u) / len(t | u), min(other), len(other)) for (k, u), other in classes.items() if k == kind and u != t)
+            want |= {(i, o, c, int(-s * 100 + 0.5 + 1e-9) / 100) for i in ids for s, o, c in [x for x in scored if -x[0] >= least][:10]}
+        assert {tuple(r) for r in aggregates.similar_code(n, n.select("id"), least).collect()} == want

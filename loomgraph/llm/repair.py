@@ -65,6 +65,20 @@ def grammar_size(start: list, rules: dict) -> int:
     return len(start) + 2 * len(rules)
 
 
+def explained(start: list, rules: dict) -> Counter:
+    """How often each token stands in the part of the sequence that rules explain."""
+    uses = Counter(x[1] for x in start if isinstance(x, tuple))
+    tokens: Counter = Counter()
+    # A rule is made of tokens and of older rules.
+    for symbol in sorted(rules):
+        for x in rules[symbol]:
+            if isinstance(x, tuple):
+                uses[x[1]] += uses[symbol]
+            else:
+                tokens[x] += uses[symbol]
+    return tokens
+
+
 def shared_phrases(sequence: list[str], least: int) -> list[int]:
     """Hashes of the rules of at least ``least`` tokens in a locally consistent grammar of the sequence.
 

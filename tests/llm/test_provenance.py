@@ -1,9 +1,11 @@
 import random
+import re
+from collections import Counter
 
 import pytest
 
 from loomgraph.llm import provenance
-from loomgraph.llm.repair import grammar_size, re_pair, shared_phrases
+from loomgraph.llm.repair import explained, grammar_size, re_pair, shared_phrases
 
 CODE = "package a;\n\npublic class B {\n    public void run(int n) {\n        var x = store.load(n);\n        x.save();\n    }\n}\n"
 
@@ -24,6 +26,14 @@ def test_re_pair_is_a_round_trip(seed):
         assert grammar_size(start, rules) < len(sequence)
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_explained_tokens_are_those_of_the_expanded_rules(seed):
+    rnd = random.Random(seed)
+    sequence = [rnd.choice("abcdefgh") for _ in range(rnd.choice([0, 3, 40, 3000]))]
+    start, rules = re_pair(sequence)
+    assert explained(start, rules) == Counter(t for s in start if isinstance(s, tuple) for t in expand(s, rules))
+
+
 def test_random_literals_do_not_compress():
     rnd = random.Random(1)
     start, rules = re_pair([rnd.randrange(10**9) for _ in range(500)])
@@ -118,3 +128,34 @@ def test_roots():
     assert provenance.repository("services/a/web\\src\\x.ts", roots) == "services/a/web"
     assert provenance.repository("services/a/src/x.ts", roots) == "services/a" and provenance.repository("x/y/z.ts", roots) == "x/y"
     assert provenance.judge("services/a/web/dist/x.js", None, 3)[0] == "generated" and provenance.judge("services/a/web/dist/x.js", None, 2)[0] == ""
+
+
+def minified(seed, n):
+    rnd = random.Random(seed)
+    name = lambda: "".join(rnd.choices("abcdefghijk", k=rnd.randrange(1, 3)))
+    forms = ("function {0}({1},{2}){{{3}}}", "var {0}=function({1}){{for(var {2}=0;{2}<{1}.length;{2}++){1}[{2}].{3}()}};", "{0}.{1}=!1,{2}.{3}=16,", "!({0}=>{{{1}({0},767);{2}={0}.{3}()}})({1}),")
+    return "".join(rnd.choice(forms).format(name(), name(), name(), name()) for _ in range(n))
+
+
+@pytest.mark.parametrize("width", [80, 120, 500, 10**6])
+def test_minified_code_is_known_by_its_rules_however_it_is_wrapped(width):
+    code, lines = minified(width, 60), [""]
+    for token in re.findall(r"\w+ \w+|\w+|\W", code):
+        if len(lines[-1]) + len(token) > width:
+            lines.append("")
+        lines[-1] += token
+    assert max(map(len, lines)) <= width and "".join(lines) == code
+    assert provenance.judge("services/a/src/x.js", "\n".join(lines))[:2] == ("minified", "token grammar")
+
+
+@pytest.mark.parametrize(
+    "path,content",
+    [
+        ("ci.yml", "".join(f"job{i}:\n  needs: build\n  run: make all\n" for i in range(8)) + "secure: " + "k3" * 700 + "\n"),
+        ("src/routes.js", "".join(f"app.use(api.route{i}(path.get(key{i}),b));\n" for i in range(60))),
+        ("x.properties", "".join(f"com.own.works.part{i}.group.of.settings.with.name{i}={i}\n" for i in range(60))), ("x.csv", "".join(",".join(str(i * k) for k in range(20)) + "\n" for i in range(40))),
+        ("src/B.java", CODE * 20), ("src/x.py", "total = 0\n" * 100),
+    ],
+)
+def test_rules_of_lines_and_blanks_are_hand_written(path, content):
+    assert provenance.judge("services/a/" + path, content)[0] == ""
